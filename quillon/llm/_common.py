@@ -99,15 +99,13 @@ def id_bounds(df: DataFrame, key: str, buckets: int, accuracy: int = 10_000) ->
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below ``key``, by binary search over literals; null keys go to bucket 0."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return F.when(key.isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
+    """Number of bounds at or below ``key``, by binary search in an array literal; null keys go to bucket 0."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    table = F.array(*[F.lit(x) for x in bounds])
+    step = lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:
