@@ -7,7 +7,9 @@ import atexit
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package shipped to the workers, once an application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        top = Path(__file__).resolve().parents[1]
+        packed = Path(tempfile.mkdtemp(prefix="quillon-code-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        context.addPyFile(str(packed))
+    return df.mapInArrow(run, schema)
+
+
 _paths: list[tuple[SparkSession, str]] = []
 
 

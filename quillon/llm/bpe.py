@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import map_arrow
+
 #: Entries of a worker's cache of encoded chunks, in each of its two generations; a miss is computed again.
 CACHE = 300_000
 
@@ -217,7 +219,7 @@ def _mapped(df: DataFrame, text_col: str, path: str, fields: list[tuple[str, T.D
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *cols], names=[*rest, *[n for n, _, _ in fields]])
 
     taken = df.select(*rest, F.col(text_col).alias("__text"))
-    return taken.mapInArrow(run, schema)
+    return map_arrow(taken, run, schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:

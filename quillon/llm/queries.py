@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, mixing, rules
-from ._common import read_table
+from . import bpe, fingerprint, knn, mixing, rules, samples, simhash, sstable, suffix, toxicity
+from ._common import crc_mod, read_table
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -24,11 +24,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.components(_documents(spark, sf_dir))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(_documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), read_table(spark, sf_dir, "labels")
+    sample = samples.labelled(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0), "toxic", toxicity.BOUND)
+    return _scored(toxicity.classify(docs, toxicity.fit(sample)), crc_mod(F.col("doc_id"), 5) == 0)
+
+
+def _scored(df: DataFrame, held_out) -> DataFrame:
+    return df.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.encoded(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(_documents(spark, sf_dir, "source"))
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), read_table(spark, sf_dir, "labels")
+    sample = samples.labelled(docs, labels.where(crc_mod(F.col("doc_id"), 3) != 1), "quality", knn.BOUND)
+    return _scored(knn.classify(docs, knn.fit(sample)), crc_mod(F.col("doc_id"), 3) == 1)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,7 +65,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_quality_rules": op3_quality_rules,
+    "op4_simhash": op4_simhash,
+    "op5_suffix_array": op5_suffix_array,
+    "op6_toxicity": op6_toxicity,
+    "op7_sstable": op7_sstable,
     "op8_mixing": op8_mixing,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
