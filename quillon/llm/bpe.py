@@ -241,3 +241,14 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     fields = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     return _mapped(df, text_col, path, fields, make)
+
+
+def coded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` with its text replaced by ``ids`` (array of int) and the columns of ``round_trip``."""
+
+    def make(v: Vocabulary, text: str) -> tuple:
+        ids = v.encode(text)
+        return ids.astype("<i4"), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(v.decode(ids)).hexdigest()
+
+    fields = [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
+    return _mapped(df, text_col, path, fields, make)

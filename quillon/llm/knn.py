@@ -141,3 +141,18 @@ def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     schema = T.StructType([*[df.schema[c] for c in rest], T.StructField("score", T.DoubleType())])
     return map_arrow(df.select(*rest, F.col(text_col).alias("__text")), run, schema)
+
+
+def accepted(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``df`` that score ``least`` or more, as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                scores = shared.value.scores(np.array([counts(t.as_py() or "") for t in part.column(at)]))
+                yield part.filter(pa.array(scores >= least))
+
+    return map_arrow(df, run, df.schema)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, let
+from ._common import WORD, let, materialize
 
 SEED = 17
 #: Bound on the blocks of all sources together (four at least, and 1024 at most, for each source).
@@ -88,12 +88,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return _mix(docs, shards, seed, cap, units).withColumnRenamed("id", id_col)
 
 
-def _mix(docs: DataFrame, shards: int, seed: int, cap: int, units: int, *more: str) -> DataFrame:
+def _mix(docs: DataFrame, shards: int, seed: int, cap: int, units: int, *more_cols: str) -> DataFrame:
     n_sources = docs.select(F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).first()[0] or 1
     blocks = max(4, min(1024, 1 << ((units // n_sources).bit_length() - 1 if units >= n_sources else 0)))
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    docs = docs.select("id", "source", "size", *more, skey.alias("skey"), key.alias("key"))
+    docs = docs.select("id", "source", "size", *more_cols, skey.alias("skey"), key.alias("key"))
     docs = docs.withColumn("blk", F.floor(F.conv(F.substring("key", 1, 3), 16, 10).cast("int") * F.lit(blocks) / 4096).cast("int"))
     per_block = docs.groupBy("skey", "blk", "source").agg(F.sum("size").alias("size"))
     plan = targets(per_block, cap)
@@ -107,13 +107,23 @@ def _mix(docs: DataFrame, shards: int, seed: int, cap: int, units: int, *more: s
     b = b.join(shard_quotas(quotas, shards, seed), "skey")
     shard = lambda c: F.size(F.filter("upto", lambda x: x <= c * F.col("nb") + F.col("rank")))
     at = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), shard)).otherwise(F.array().cast("array<int>"))
-    b = b.select("skey", "blk", "source_size", "target", "repeats", "rest", "start", at.alias("at"))
+    b = materialize(b.select("skey", "blk", "size", "source_size", "target", "repeats", "rest", "start", at.alias("at")), "blocks")
 
+    # The one block of a source that the rest ends in: its last document that is taken.
     inside = Window.partitionBy("skey", "blk").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    got = docs.join(b, ["skey", "blk"])
+    ends = b.where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") > F.col("rest"))).select("skey", "blk", "start", "rest")
+    own = docs.select("skey", "blk", "key", "size").join(F.broadcast(ends), ["skey", "blk"])
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))
-    got = got.withColumn("more", ((2 * before + F.col("size") <= 2 * F.col("rest")) & (F.col("start") < F.col("rest"))).cast("int"))
-    return got.select("id", *more, "size", "source_size", "target", F.slice("at", F.lit(1), F.col("repeats") + F.col("more")).alias("shards"), "key")
+    taken = own.select("skey", "blk", "key", "size", (2 * before + F.col("size") <= 2 * F.col("rest")).alias("in")).where("in")
+    cuts = taken.groupBy("skey", "blk").agg(F.max(F.struct("key", "size")).alias("cut"))
+    ended = ends.select("skey", "blk", F.lit(True).alias("ends"))
+    b = b.drop("size").join(ended, ["skey", "blk"], "left").join(cuts, ["skey", "blk"], "left")
+
+    # A bounded table (see ``units``), so documents need no shuffle to meet it.
+    got = docs.join(F.broadcast(b), ["skey", "blk"])
+    upto_cut = F.coalesce(F.struct("key", "size") <= F.col("cut"), F.lit(False))
+    more = F.when(F.col("ends"), upto_cut).otherwise((F.col("start") < F.col("rest")) & (F.col("size") > 0)).cast("int")
+    return got.select("id", *more_cols, "size", "source_size", "target", F.slice("at", F.lit(1), F.col("repeats") + more).alias("shards"), "key")
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = SEED) -> DataFrame:

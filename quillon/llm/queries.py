@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, knn, mixing, rules, samples, simhash, sstable, suffix, toxicity
+from . import bpe, fingerprint, knn, langid, mixing, rules, samples, simhash, sstable, suffix, toxicity
 from ._common import crc_mod, read_table
 
 
@@ -20,6 +20,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_neighbours(_documents(spark, sf_dir))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.fit(langid.sample(docs.where(~held_out)))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_documents(spark, sf_dir))
 
@@ -64,6 +71,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_suffix_array": op5_suffix_array,

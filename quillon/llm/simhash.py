@@ -11,9 +11,10 @@ One side gives its own indices, the other side's neighbourhood meets them, and
 each pair that meets is verified.
 
 ``components`` links fingerprints at ``3`` bits or fewer. ``near_duplicates``
-is for shingle similarity: as 0.8 of similarity can be ten bits and more, a key
-there is a codeword index together with a min-hash of the shingles (repeated
-for 12 min-hashes), each document is compared with two of those it meets
+is for shingle similarity: as 0.8 of similarity can be ten bits and more, the
+fingerprint there is one of single words (which an edit changes least) and a
+key is a segment's codeword index together with a min-hash of the shingles
+(repeated for 12 min-hashes); each document is compared with those it meets
 under each key, and links are verified on the shingle sets.
 
 Defined results: a null or wordless text has the fingerprint zero and is linked
@@ -41,6 +42,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: More left rows than this under one key: their links are found by search in blocks, without all pairs.
 HOT, BLOCK = 512, 2048
 MINHASHES = 12
+#: Under a key of this many documents at most, each is compared with all; under others with three of them.
+FEW = 16
 
 
 class Golay:
@@ -274,14 +277,14 @@ def _fuzzy_keys(fp: np.ndarray, least: np.ndarray, wide: bool) -> tuple[np.ndarr
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(node, fp, least) from (node, text)."""
+    """(node, fp, least) from (node, text): fingerprint of the words, min-hashes of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, least = [], []
             for t in batch["text"]:
                 h = shingle_hashes(t.as_py(), words)
-                fps.append(_signed(simhash(h)))
+                fps.append(_signed(simhash(shingle_hashes(t.as_py(), 1))))
                 least.append([int(_mix(h, i).min().view(np.int64)) if len(h) else i for i in range(MINHASHES)])
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["node", "fp", "least"])
 
@@ -313,15 +316,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """(node, component) from distinct (node, text) rows: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Every link is verified on whole shingle sets. A pair at 0.8 meets under
-    some key with a probability of about 0.9, one at 0.9 with 0.99. Rows under
-    one key are compared with its lowest and highest node only, so the work is
-    linear in a group's size; other members of a group are reached through
-    the many keys they share.
+    some key with a probability of about 0.999, a closer one with more. Rows
+    under one key are compared with its lowest and highest node only, so the
+    work is linear in a group's size; other members of a group are reached
+    through the many keys they share.
     """
     spark = docs.sparkSession
     sketches = materialize(_sketches(docs, words), "sketches")
-    hubs = _fuzzy_rows(sketches, False).groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    met = _fuzzy_rows(sketches, True).join(hubs, "key").select("node", F.explode(F.array("a", "b")).alias("hub")).where("node <> hub")
+    own = materialize(_fuzzy_rows(sketches, False), "keys")
+    sizes = own.groupBy("key").agg(F.count("*").alias("n"))
+    # How many others a node shares its keys with: greatest for the text that the others are copies of.
+    central = own.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
+    near_all = F.col("w") * 1024 + F.pmod(F.xxhash64("key", "node"), F.lit(1024))
+    picks = [F.max_by("node", near_all), F.min_by("node", F.xxhash64("key", "node")), F.max_by("node", F.xxhash64("key", "node"))]
+    hubs = own.join(central, "node").groupBy("key").agg(F.count("*").alias("n"), F.array(*picks).alias("hubs"))
+    chosen = own.join(hubs, "key").where((F.col("n") <= FEW) | F.array_contains("hubs", F.col("node"))).select("key", F.col("node").alias("hub"))
+    met = _fuzzy_rows(sketches, True).join(chosen, "key").where("node <> hub")
     pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
     release(spark)
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -29,11 +29,13 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -41,10 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import bucket_of, id_bounds, map_arrow, materialize, new_path
-from .bpe import CACHE
 
+#: Words that a worker's cache holds.
+CACHE = 600_000
 MAGIC = b"QLSST001"
 BLOCK, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
+RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 ODD = re.compile(r"  |\s \s")
 FOOTER = struct.Struct("<QQQQQQBxxxxxxx")  # index offset and size, Bloom offset and size, entries, tokens, bytes an id
 
@@ -238,36 +242,60 @@ class PieceEncoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: Ids of a text's first piece, and of others without the space before them.
+        self.first, self.cache = {}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.type == "<u2" else "I"
+        return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, text: str) -> bool:
+        """Whether the text must go to the library as it is."""
+        if not self.pieces or "  " in text or any(x in text for x in self.special):
+            return True
+        # Of white space other than the space, texts hold line ends alone as a rule.
+        return (" \n " in text or "\n \n" in text) if not any(c in text for c in RARE_SPACES) else bool(ODD.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        out: list = []
-        for t in texts:
-            if not self.pieces or ODD.search(t) or any(x in t for x in self.special):
-                out.append(self._library([t])[0])
-            elif not t:
-                out.append(b"")
-            else:
-                first, *rest = t.split(" ")
-                out.append([first, *[" " + x for x in rest]])
-        missing = {p for x in out if type(x) is list for p in x}.difference(self.cache)
-        found = {p: self.old[p] for p in missing if p in self.old}
-        new = list(missing.difference(found))
-        found |= zip(new, self._library(new), strict=True)
-        if len(self.cache) + len(found) > CACHE:
-            self.old, self.cache = self.cache, {}
-            cache = self.old | found
-        else:
-            cache = self.cache
-        self.cache |= found
-        return [x if type(x) is bytes else b"".join([cache[p] for p in x]) for x in out]
-
-
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        out: list = [b""] * len(texts)
+        for i in whole:
+            out[i] = self._library([texts[i]])[0]
+        rest = sorted(set(range(len(texts))).difference(whole))
+        if not rest:
+            return out
+        # Words of all texts as codes of a dictionary; each text's first word has no space before it.
+        lists = pc.split_pattern(pa.array([texts[i] for i in rest], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = lists.offsets.to_numpy()
+        heads = [words[c] for c in codes[at[:-1]].tolist()]
+        ids = self._known(words, self.cache, " ") + self._known(heads, self.first, "")
+        codes[at[:-1]] = len(words) + np.arange(len(heads))
+        # The tokens of each code, gathered in the order of the words.
+        flat = np.frombuffer(b"".join(ids), self.type)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        start = np.cumsum(size) - size
+        n = size[codes]
+        end = np.cumsum(n)
+        tokens = flat[np.repeat(start[codes] - (end - n), n) + np.arange(end[-1])]
+        cuts = np.concatenate([[0], end])[at]
+        for i, a, b in zip(rest, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            out[i] = tokens[a:b].tobytes()
+        return out
+
+    def _known(self, words: list[str], cache: dict[str, bytes], before: str) -> list[bytes]:
+        """Ids of each word with ``before`` in front; a cache that is full starts anew."""
+        found = list(map(cache.get, words))
+        if None in found:
+            new = list({w for w, x in zip(words, found, strict=True) if x is None})
+            made = dict(zip(new, self._library([before + w for w in new]), strict=True))
+            found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            if len(cache) + len(made) > CACHE:
+                cache.clear()
+            cache |= made
+        return found
 
 
 _encoders: dict[bytes, PieceEncoder] = {}
@@ -310,7 +338,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str
                 done.append((shard, name, writer.entries, writer.tokens))
 
         for batch in batches:
-            step = max(1, min(1000, int(batch.num_rows * 2e6 / max(1, batch.nbytes))))
+            step = max(1, int(batch.num_rows * 6e6 / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids, texts, which = part["id"].to_pylist(), part["text"].to_pylist(), part["shard"].to_pylist()

@@ -11,13 +11,13 @@ always has a sample of equal prefix at equal offset in both places.
 Rank 1: the first ``prefix`` bytes; samples of unique rank are done.
 Rank 2: all the strings that hold the sample, as one (its hull). Where another
 hull is equal, all of these strings repeat.
-Rank 3, for hulls at the edge of a repeat: ranges of 20 strings, first by the
-bytes that a range has in common (a unique one is done), then as a whole.
-Rank 4: each string of the ranges that are left.
-
-Every rank is a grouping by hash with partial aggregation: a group tells by
-its lowest and highest occurrence whether it has more than one, so a
-line that a third of all documents hold needs no task of its own.
+Rank 3, for hulls at the edge of a repeat: each string. The hulls of a class
+meet in one task if they are ``hot`` at most. Of larger classes (a line that a
+third of all documents hold) ranges of 20 strings are ranked first, by the
+bytes that a range has in common (a unique one is done), then as a whole, and
+only then the strings of the ranges that are left, all by groupings with
+partial aggregation: a group tells by its lowest and highest occurrence
+whether it has more than one.
 Texts are named by their 64-bit hash, so equal texts are one; they are repeats
 of each other as a whole.
 
@@ -41,6 +41,8 @@ from pyspark.sql import types as T
 from ._common import map_arrow, materialize, release
 
 LENGTH, PREFIX, RANGE = 200, 48, 20
+#: Classes of more hulls than this are ranked by groupings alone, others in one task each.
+HOT = 256
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _FULL = np.uint64((1 << 64) - 1)
@@ -136,6 +138,36 @@ class Sampler:
         return [who, at, left, right, x.view(np.int64), hull.view(np.int64)]
 
 
+    def shared_runs(self, cls: np.ndarray, at: np.ndarray, is_open: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, least s, greatest s) of the runs of strings, s bytes before an open row's sample, that another row of its class has too."""
+        n, w, size = len(data), self.window, self.length
+        left, right = (at >> 16 & 0xFFFF).astype(int), (at & 0xFFFF).astype(int)
+        width = w - 1 + size
+        table = np.zeros((n, width), np.uint64)
+        for i, d in enumerate(data):
+            start = w - 1 - left[i]
+            table[i, start : start + len(d)] = np.frombuffer(d, np.uint8)
+        total = np.zeros((n, width + 1), np.uint64)
+        np.cumsum((table + np.uint64(1)) * self.down[:width], axis=1, out=total[:, 1:])
+        starts = w - 1 - np.arange(w)
+        strings = (total[:, starts + size] - total[:, starts]) * self.up[starts]
+        strings = (strings ^ (cls.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]) * np.uint64(_BASE)
+        s = np.arange(w)
+        real = (s >= (size - right)[:, None]) & (s <= left[:, None])
+        hit = np.zeros((n, w), bool)
+        for k in range(w):
+            rows = np.flatnonzero(real[:, k])
+            order = rows[np.argsort(strings[rows, k], kind="stable")]
+            same = strings[order[1:], k] == strings[order[:-1], k]
+            hit[order[1:], k] |= same
+            hit[order[:-1], k] |= same
+        hit &= is_open[:, None]
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        who, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)
+        return who, low, high - 1
+
+
 _samplers: dict[tuple[int, int], Sampler] = {}
 
 
@@ -170,28 +202,57 @@ def _right():
     return F.col("at").bitwiseAND(F.lit(0xFFFF).cast("long"))
 
 
-def _ranked(rows: DataFrame, label: str) -> DataFrame:
-    """Rows with ``shared`` (another occurrence has an equal hull; given for open rows) or ``rep``.
+def _ranked(rows: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Rows with ``shared`` (another occurrence has an equal hull; given for open rows), ``rep`` and ``n``.
 
-    rows: cls, key, hull, node, at, open and others. ``rep`` stands for its hull
-    in the next rank, given where (cls, key) has several hulls and one of an
-    open row that no other has.
+    rows: the columns ``by``, hull, node, at, open and others. ``rep`` stands for
+    its hull in the next rank, given where the ``n`` hulls of ``by`` are
+    several and one is of an open row that no other has.
     """
     occ = F.xxhash64("node", "at")
-    by = ["cls", "key", "hull"]
-    g = rows.groupBy(*by).agg(F.min(occ).alias("lo"), F.max(occ).alias("hi"), F.max("open").alias("any"))
+    g = rows.groupBy(*by, "hull").agg(F.min(occ).alias("lo"), F.max(occ).alias("hi"), F.max("open").alias("any"))
     alone = F.col("lo") == F.col("hi")
-    active = g.groupBy("cls", "key").agg(F.count("*").alias("n"), F.max(F.col("any") & alone).alias("some")).where("n > 1 and some").select("cls", "key", F.lit(True).alias("active"))
-    g = g.join(active, ["cls", "key"], "left").where(~alone | F.col("active")).select(*by, "lo", "hi", F.coalesce("active", F.lit(False)).alias("active"))
-    got = rows.join(g, by).withColumns({"shared": ~alone, "rep": F.col("active") & (F.col("lo") == occ)}).drop("lo", "hi", "active")
+    active = g.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.col("any") & alone).alias("some")).where("n > 1 and some").select(*by, "n")
+    g = g.join(active, by, "left").where(~alone | F.col("n").isNotNull()).select(*by, "hull", "lo", "hi", "n")
+    got = rows.join(g, [*by, "hull"]).withColumns({"shared": ~alone, "rep": F.col("n").isNotNull() & (F.col("lo") == occ)}).drop("lo", "hi")
     return materialize(got.where((F.col("shared") & F.col("open")) | F.col("rep")), label)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = None) -> DataFrame:
+def _few(hulls: DataFrame, length: int, window: int) -> DataFrame:
+    """(node, start, end) of the strings that repeat within a class, from (cls, node, at, open, bytes) rows; classes are held whole."""
+    dealt = hulls.repartition("cls").sortWithinPartitions("cls", "node", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = sampler(length, length - window + 1)
+        held, last = [], None
+
+        def found() -> pa.RecordBatch:
+            cls, node, at, is_open, data = (list(c) for c in zip(*held, strict=True))
+            runs = s.shared_runs(np.array(cls, np.int64), np.array(at, np.int64), np.array(is_open), data)
+            pos = np.array(at, np.int64) >> 32
+            who, low, high = runs
+            return pa.RecordBatch.from_arrays([pa.array(np.array(node, np.int64)[who]), pa.array(pos[who] - high), pa.array(pos[who] - low + length)], names=["node", "start", "end"])
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("cls", "node", "at", "open", "bytes")), strict=True):
+                if row[:3] == last:
+                    continue
+                if len(held) >= 2000 and row[0] != last[0]:
+                    yield found()
+                    held.clear()
+                held.append(row)
+                last = row[:3]
+        if held:
+            yield found()
+
+    return map_arrow(dealt, run, "node long, start long, end long")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = None, hot: int = HOT) -> DataFrame:
     """(node, spans) from (node, text) rows: byte ranges, perhaps overlapping, whose union is all that repeats."""
     prefix = prefix or min(PREFIX, length // 2)
-    if not 8 <= prefix < length < 1 << 16:
-        raise ValueError("length must be over 16 and under 65,536 bytes")
+    if not 8 <= prefix < length < 1 << 15:
+        raise ValueError("length must be over 16 and under 32,768 bytes")
     spark, window = docs.sparkSession, length - prefix + 1
     copies = docs.groupBy("node").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).cast("long").alias("end"))
     copies = copies.where((F.col("n") > 1) & (F.col("end") >= length)).select("node", F.lit(0).cast("long").alias("start"), "end")
@@ -201,20 +262,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     rows = materialize(samples.join(often, "cls", "left_semi"), "samples")
     release(spark)
 
-    one = _ranked(rows.select("cls", F.lit(0).cast("long").alias("key"), "hull", "node", "at", F.lit(True).alias("open")), "hulls")
+    one = _ranked(rows.select("cls", "hull", "node", "at", F.lit(True).alias("open")), ["cls"], "hulls")
     spans = [copies, one.where("shared and open").select("node", (_position() - _left()).alias("start"), (_position() + _right()).alias("end"))]
     release(spark)
 
     # The bytes of the hulls that go on.
-    wanted = one.where("rep").select("node", "cls", "at", (F.col("open") & ~F.col("shared")).alias("open")).distinct()
-    wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("cls", "at", "open")).alias("want"))
+    wanted = one.where("rep").select("node", "cls", "at", (F.col("open") & ~F.col("shared")).alias("open"), (F.col("n") > hot).alias("hot"))
+    wanted = wanted.groupBy("node").agg(F.collect_set(F.struct("cls", "at", "open", "hot")).alias("want"))
     cut = F.substring(F.col("bytes"), (_position() - _left() + 1).cast("int"), (_left() + _right()).cast("int"))
     texts = docs.select("node", "text").join(wanted, "node")
     hulls = texts.select("node", F.col("text").cast("binary").alias("bytes"), F.explode("want").alias("w")).select("node", "bytes", "w.*")
-    hulls = materialize(hulls.select("cls", "node", "at", "open", cut.alias("bytes")), "bytes")
+    hulls = materialize(hulls.select("cls", "node", "at", "open", "hot", cut.alias("bytes")), "bytes")
     release(spark)
+    spans.append(_few(hulls.where("not hot").drop("hot"), length, window))
+    spans += _many(hulls.where("hot").drop("hot"), length, window)
 
-    # Ranges of strings, each named by how many bytes before the sample it starts.
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.unionByName(x)
+    got = materialize(every.distinct().groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    release(spark)
+    return got
+
+
+def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
+    """The same for classes of any size: ranges of strings and then single ones, each a group that is summed up before it is shuffled."""
+    if hulls.isEmpty():
+        return []
     left, low = _left().cast("int"), (F.lit(length) - _right()).cast("int")
     ranges = hulls.withColumn("j", F.explode(F.sequence(F.floor(low / RANGE).cast("int"), F.floor(left / RANGE).cast("int"))))
     a, b = F.col("j") * RANGE, F.least(F.col("j") * RANGE + RANGE - 1, F.lit(window - 1))
@@ -222,27 +296,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     piece = lambda before, size: F.substring(F.col("bytes"), left - before + 1, size)
     common = F.xxhash64(F.col("j"), piece(a, F.lit(length) - (b - a)))
     whole = F.xxhash64("s1", "s2", piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1")))
-    two = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2").distinct(), "ranges")
-    spans.append(two.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end")))
-    release(spark)
+    two = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), ["cls", "key"], "ranges")
+    spans = [two.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end"))]
 
-    # Single strings.
     last = two.where("rep").select("cls", "node", "at", "s1", "s2", (F.col("open") & ~F.col("shared")).alias("open"))
-    last = last.join(hulls.select("cls", "node", "at", "bytes").dropDuplicates(["cls", "node", "at"]), ["cls", "node", "at"])
+    last = last.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
     last = last.withColumn("s", F.explode(F.sequence("s1", "s2")))
     last = last.select("cls", F.xxhash64("s", piece(F.col("s"), F.lit(length))).alias("hull"), "node", "at", "s", "open")
     last = materialize(last, "strings")
     occ = F.xxhash64("node", "at")
     shared = last.groupBy("cls", "hull").agg(F.min(occ).alias("lo"), F.max(occ).alias("hi")).where("lo <> hi").select("cls", "hull")
     three = last.where("open").join(shared, ["cls", "hull"], "left_semi")
-    spans.append(three.select("node", (_position() - F.col("s")).alias("start"), (_position() - F.col("s") + length).alias("end")))
-
-    every = spans[0]
-    for x in spans[1:]:
-        every = every.unionByName(x)
-    got = materialize(every.distinct().groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
-    return got
+    return [*spans, three.select("node", (_position() - F.col("s")).alias("start"), (_position() - F.col("s") + length).alias("end"))]
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
