@@ -42,13 +42,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, id_bounds, map_arrow, materialize, new_path
+from ._common import bucket_of, id_bounds, map_arrow, materialize, new_path, worker_cache
+from .bpe import Memo
 
 #: Words that a worker's cache holds.
-CACHE = 600_000
+CACHE = 450_000
 MAGIC = b"QLSST001"
 BLOCK, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
 RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Marks that end a word and are tokens of their own beside letters.
+MARKS = ".,!?;:#*$%&|)"
+BLANK = re.compile(r"\s")
 ODD = re.compile(r"  |\s \s")
 FOOTER = struct.Struct("<QQQQQQBxxxxxxx")  # index offset and size, Bloom offset and size, entries, tokens, bytes an id
 
@@ -242,8 +246,14 @@ class PieceEncoder:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.type = "<u2" if self.size <= 1 << 16 else "<u4"
-        #: Ids of a text's first piece, and of others without the space before them.
-        self.first, self.cache = {}, {}
+        #: By what stands before a word (a space, or nothing in front of a text): ids of words met twice, and once lately.
+        self.kept: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.young: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.tails = Memo(lambda tail: self._library([tail])[0], 10_000)
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():  # a letter a byte
+            self.bytes[i] = len(token)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.type == "<u2" else "I"
@@ -271,7 +281,7 @@ class PieceEncoder:
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         at = lists.offsets.to_numpy()
         heads = [words[c] for c in codes[at[:-1]].tolist()]
-        ids = self._known(words, self.cache, " ") + self._known(heads, self.first, "")
+        ids = self._known(words, " ") + self._known(heads, "")
         codes[at[:-1]] = len(words) + np.arange(len(heads))
         # The tokens of each code, gathered in the order of the words.
         flat = np.frombuffer(b"".join(ids), self.type)
@@ -285,28 +295,61 @@ class PieceEncoder:
             out[i] = tokens[a:b].tobytes()
         return out
 
-    def _known(self, words: list[str], cache: dict[str, bytes], before: str) -> list[bytes]:
-        """Ids of each word with ``before`` in front; a cache that is full starts anew."""
+    def _known(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of each word with ``before`` in front."""
+        cache, young = self.kept[before], self.young[before]
         found = list(map(cache.get, words))
-        if None in found:
-            new = list({w for w, x in zip(words, found, strict=True) if x is None})
-            made = dict(zip(new, self._library([before + w for w in new]), strict=True))
-            found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            if len(cache) + len(made) > CACHE:
-                cache.clear()
-            cache |= made
+        missing = [i for i, x in enumerate(found) if x is None]
+        if not missing:
+            return found
+        fresh, parts = [], []
+        for i in missing:
+            w = words[i]
+            ids = found[i] = young.get(w)
+            if ids is not None:  # met before: worth keeping
+                cache[w] = ids
+                continue
+            base = w.rstrip(MARKS)
+            if len(base) == len(w) or not base.isalpha():
+                base = w
+            fresh.append(i)
+            parts.append(base)
+        need = {b for b in parts if b not in cache and b not in young}
+        young |= zip(need, self._words(list(need), before), strict=True)
+        for i, base in zip(fresh, parts, strict=True):
+            w = words[i]
+            ids = young[base] if base in young else cache[base]
+            if len(base) < len(w):
+                ids = young[w] = ids + self.tails[w[len(base) :]]
+            found[i] = ids
+        if len(young) > CACHE // 3:
+            young.clear()
+        if len(cache) > CACHE:
+            cache.clear()
         return found
 
-
-_encoders: dict[bytes, PieceEncoder] = {}
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """The library's ids; words without white space go to it many at a time, and are told apart by the bytes of their tokens."""
+        out = dict.fromkeys(words, b"")
+        plain = [w for w in words if before and w and not BLANK.search(w)]
+        rest = [w for w in words if not (before and w and not BLANK.search(w))]
+        out |= zip(rest, self._library([before + w for w in rest]), strict=True)
+        for at in range(0, len(plain), 4000):
+            part = plain[at : at + 4000]
+            ids = np.array(self.library.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)) + len(before))
+            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+            data, size = ids.astype(self.type).tobytes(), int(self.type[-1])
+            low = 0
+            for w, c in zip(part, (cuts * size).tolist(), strict=True):
+                out[w] = data[low:c]
+                low = c
+        return [out[w] for w in words]
 
 
 def encoder(file: bytes) -> PieceEncoder:
-    key = xxhash.xxh3_128_digest(file)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(file)
-    return _encoders[key]
+    """One a worker process and file."""
+    return worker_cache(("pieces", xxhash.xxh3_128_digest(file)), lambda: PieceEncoder(file))
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -338,7 +381,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str
                 done.append((shard, name, writer.entries, writer.tokens))
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * 6e6 / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * 8e6 / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids, texts, which = part["id"].to_pylist(), part["text"].to_pylist(), part["shard"].to_pylist()
