@@ -41,6 +41,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+_worker: dict = {}
+
+
+def worker_cache(name, make: Callable):
+    """What an operator keeps in a worker process between tasks; that of the operator before is let go."""
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = make()
+    return _worker[name]
+
+
 _shipped: set[str] = set()
 
 

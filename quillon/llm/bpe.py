@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow
+from ._common import map_arrow, worker_cache
 
 #: Entries of a worker's cache of encoded chunks, in each of its two generations; a miss is computed again.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Memo(dict):
@@ -188,16 +188,9 @@ class Vocabulary:
         return b" ".join([buffer[offsets[i] : offsets[i + 1]] for i in ids.tolist()])
 
 
-_loaded: dict[bytes, Vocabulary] = {}
-
-
 def vocabulary(file: bytes) -> Vocabulary:
     """One a worker process and file."""
-    key = hashlib.sha256(file).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(file)
-    return _loaded[key]
+    return worker_cache(("bpe", hashlib.sha256(file).digest()), lambda: Vocabulary(file))
 
 
 def _mapped(df: DataFrame, text_col: str, path: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable) -> DataFrame:

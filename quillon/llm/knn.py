@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow
+from ._common import map_arrow, worker_cache
 from .bpe import Memo
 
 BOUND, DIMENSIONS, NEIGHBOURS = 4000, 48, 15
@@ -52,14 +52,9 @@ def _cells(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % WORDS * SHAPES + zlib.crc32(shape(word).encode()) % (SHAPES - 2)
 
 
-_memo: list[Memo] = []
-
-
 def counts(text: str) -> np.ndarray:
     """Counts of words, then of shapes; the last two cells count words and lines that repeat the one before or an earlier one."""
-    if not _memo:
-        _memo.append(Memo(_cells))
-    memo, words = _memo[0], text.split()
+    memo, words = worker_cache("knn", lambda: Memo(_cells, 150_000)), text.split()
     both = np.array([memo[w] for w in words], np.int64)
     out = np.concatenate([np.bincount(both // SHAPES, minlength=WORDS), np.bincount(both % SHAPES, minlength=SHAPES)])
     out[-1] = sum(a == b for a, b in zip(words, words[1:], strict=False))

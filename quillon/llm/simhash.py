@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, release
+from ._common import map_arrow, materialize, release, worker_cache
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -80,13 +80,8 @@ class Golay:
         return np.take_along_axis(found, order, 1), np.take_along_axis(new, order, 1)
 
 
-_golay: list[Golay] = []
-
-
 def golay() -> Golay:
-    if not _golay:
-        _golay.append(Golay())
-    return _golay[0]
+    return worker_cache("golay", Golay)
 
 
 def segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -304,16 +299,24 @@ def _fuzzy_rows(sketches: DataFrame, wide: bool) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, s): the set of each node's shingles, from rows that a join left sorted by node, so copies follow one another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+            nodes, sets = [], []
+            for node, t in zip(batch["node"].to_pylist(), batch["text"], strict=True):
+                if node != last:
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))
+                last = node
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
     return map_arrow(docs.select("node", "text"), run, "node long, s array<long>")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, component) from distinct (node, text) rows: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
+    """(node, component) from (node, text) rows, a text's node being the same in all its copies: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
     Every link is verified on whole shingle sets. A pair at 0.8 meets under
     some key with a probability of about 0.999, a closer one with more. Rows
@@ -322,7 +325,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     through the many keys they share.
     """
     spark = docs.sparkSession
-    sketches = materialize(_sketches(docs, words), "sketches")
+    sketches = materialize(_sketches(docs, words).dropDuplicates(["node"]), "sketches")
     own = materialize(_fuzzy_rows(sketches, False), "keys")
     sizes = own.groupBy("key").agg(F.count("*").alias("n"))
     # How many others a node shares its keys with: greatest for the text that the others are copies of.
@@ -332,15 +335,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     hubs = own.join(central, "node").groupBy("key").agg(F.count("*").alias("n"), F.array(*picks).alias("hubs"))
     chosen = own.join(hubs, "key").where((F.col("n") <= FEW) | F.array_contains("hubs", F.col("node"))).select("key", F.col("node").alias("hub"))
     met = _fuzzy_rows(sketches, True).join(chosen, "key").where("node <> hub")
-    pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    # Of 12 min-hashes a pair at 0.8 has 3 or fewer in common once in 17,000 times.
+    least = lambda n: sketches.select(F.col("node").alias(n), F.col("least").alias(f"least_{n}"))
+    alike = F.aggregate(F.zip_with("least_a", "least_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.join(least("a"), "a").join(least("b"), "b").select("a", "b", alike.alias("alike")).where("alike >= 4")
+    pairs = materialize(pairs, "pairs")
     release(spark)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_shingle_sets(docs.join(wanted, "node", "left_semi"), words), "sets")
+    ends = F.explode(F.array("a", "b")).alias("node")
+    sets = docs.join(pairs.select(ends).distinct(), "node", "left_semi")
+    sets = materialize(_shingle_sets(sets, words), "sets")
     release(spark)
-    a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(a, "a").join(b, "b").where((F.size("sa") > 0) & (F.size("sb") > 0) & (both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)))
-    return connected_components(alike.select("a", "b"), "a", "b")
+
+    def verified(some: DataFrame) -> DataFrame:
+        a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        joined = some.join(a, "a").join(b, "b").where((F.size("sa") > 0) & (F.size("sb") > 0))
+        return materialize(joined.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+
+    # First each text with the one most like it; then only what would join groups that are apart still.
+    best = pairs.select("a", "b", "alike", ends).groupBy("node").agg(F.max_by(F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")), F.col("alike") * 1024 + F.pmod(F.xxhash64("a", "b"), F.lit(1024))).alias("other"))
+    first = verified(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    groups = connected_components(first, "a", "b")
+    of = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"group_{n}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+    apart = materialize(apart.join(first, ["a", "b"], "left_anti"), "apart")
+    more = verified(apart)
+    return connected_components(first.unionByName(more), "a", "b")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -354,9 +375,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.xxhash64(text).alias("node"), text.alias("text"), F.col(id_col).alias("id"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
     nodes = materialize(rows.groupBy("node").agg(F.min(rank).alias("low"), F.count("*").alias("n")), "nodes")
-    # One row of each text: the one of its smallest id.
-    first = rows.join(nodes.select("node", F.col("low.id").alias("low_id")), "node").where("id <=> low_id")
-    found = near_duplicates(first.select("node", "text"), words, similarity)
+    found = near_duplicates(rows.select("node", "text"), words, similarity)
     joined = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     joined = materialize(joined, "joined")
     keep = joined.groupBy("component").agg(F.min(F.struct("low", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.low.id").alias("low_id"))

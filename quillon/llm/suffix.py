@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, release
+from ._common import map_arrow, materialize, release, worker_cache
 
 LENGTH, PREFIX, RANGE = 200, 48, 20
 #: Classes of more hulls than this are ranked by groupings alone, others in one task each.
@@ -168,11 +168,8 @@ class Sampler:
         return who, low, high - 1
 
 
-_samplers: dict[tuple[int, int], Sampler] = {}
-
-
 def sampler(length: int, prefix: int) -> Sampler:
-    return _samplers.get((length, prefix)) or _samplers.setdefault((length, prefix), Sampler(length, prefix))
+    return worker_cache(("sampler", length, prefix), lambda: Sampler(length, prefix))
 
 
 def _samples(docs: DataFrame, length: int, prefix: int) -> DataFrame:
@@ -214,6 +211,7 @@ def _ranked(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     alone = F.col("lo") == F.col("hi")
     active = g.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.col("any") & alone).alias("some")).where("n > 1 and some").select(*by, "n")
     g = g.join(active, by, "left").where(~alone | F.col("n").isNotNull()).select(*by, "hull", "lo", "hi", "n")
+    g = materialize(g, "groups")
     got = rows.join(g, [*by, "hull"]).withColumns({"shared": ~alone, "rep": F.col("n").isNotNull() & (F.col("lo") == occ)}).drop("lo", "hi")
     return materialize(got.where((F.col("shared") & F.col("open")) | F.col("rep")), label)
 
@@ -258,7 +256,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     copies = copies.where((F.col("n") > 1) & (F.col("end") >= length)).select("node", F.lit(0).cast("long").alias("start"), "end")
 
     samples = _samples(docs, length, prefix)
-    often = samples.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
+    # Written first, as are the groups in _ranked: a join of two plain exchanges is one whose hot keys Spark splits.
+    often = materialize(samples.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"), "often")
     rows = materialize(samples.join(often, "cls", "left_semi"), "samples")
     release(spark)
 
