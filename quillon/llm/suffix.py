@@ -288,6 +288,8 @@ def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
     """The same for classes of any size: ranges of strings and then single ones, each a group that is summed up before it is shuffled."""
     if hulls.isEmpty():
         return []
+    # Dealt out anew: the members of one class may lie in a few files, and each becomes up to window / RANGE rows.
+    hulls = hulls.repartition("cls", "node", "at")
     left, low = _left().cast("int"), (F.lit(length) - _right()).cast("int")
     ranges = hulls.withColumn("j", F.explode(F.sequence(F.floor(low / RANGE).cast("int"), F.floor(left / RANGE).cast("int"))))
     a, b = F.col("j") * RANGE, F.least(F.col("j") * RANGE + RANGE - 1, F.lit(window - 1))
