@@ -3,23 +3,94 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.callables import run_partitions
 from .index import with_index
 
+#: Samples of this many rows at most are a bounded sort on each task; places of this many rows at most come to the driver.
+FEW = 10_000
+#: Hexadecimal digits by which places are counted at a time, and all they have.
+DIGITS, ALL_DIGITS = 3, 32
+
 
 def order_of(seed: int, key: Column | None = None) -> Column:
-    """A random place: by MD5 of seed and key (the same in any engine), or by rand()."""
-    return F.rand(seed) if key is None else F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    """A random place, as 32 hexadecimal digits: the MD5 of seed and key (the same in any engine), or of rand()."""
+    text = F.rand(seed).cast("string") if key is None else F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.md5(text.cast("binary"))
+
+
+def cut_points(placed: DataFrame, wanted: Callable) -> list[tuple]:
+    """(group, place, taken, there): the place at which each group's share ends, how many rows of that place are taken, and how many there are.
+
+    ``placed`` has the columns __group and __place; ``wanted(group, n)`` rows of
+    each group are taken. Rows are counted by the first digits of their place,
+    then only those where a share ends by further digits. The driver gets 16 to
+    the power of ``DIGITS`` counts a group at most; no row is sorted or moved.
+    """
+    spark, schema = placed.sparkSession, placed.schema["__group"].dataType.simpleString()
+    ends: list[tuple] = []
+    left: dict | None = None  # group to (prefix, rows still to take)
+    digits = DIGITS
+    while left is None or left:
+        rows = placed
+        if left is not None:
+            small = spark.createDataFrame([(g, p) for g, (p, _) in left.items()], f"__g {schema}, __prefix string")
+            rows = placed.join(F.broadcast(small), placed["__group"].eqNullSafe(small["__g"]) & F.col("__place").startswith(F.col("__prefix")))
+        counts: dict = {}
+        for r in rows.groupBy("__group", F.substring("__place", 1, digits).alias("p")).count().collect():
+            counts.setdefault(r[0], []).append((r[1], r[2]))
+        following: dict = {}
+        for group, found in counts.items():
+            take = wanted(group, sum(n for _, n in found)) if left is None else left[group][1]
+            for prefix, n in sorted(found):
+                if take <= 0:
+                    break
+                if take <= n and digits == ALL_DIGITS:
+                    ends.append((group, prefix, take, n))
+                elif take < n:
+                    following[group] = prefix, take, n
+                elif take == n:
+                    ends.append((group, prefix + "g", 0, 0))
+                take -= n
+            else:
+                if take > 0:
+                    ends.append((group, "g", 0, 0))
+        few = sum(n for *_, n in following.values()) <= FEW
+        left = {g: (p, take) for g, (p, take, _) in following.items()}
+        digits = ALL_DIGITS if few else min(ALL_DIGITS, digits + DIGITS)
+    return ends
+
+
+def least(placed: DataFrame, wanted: Callable) -> DataFrame:
+    """The ``wanted(group, n)`` rows of least place in each group: a filter by the groups' cut points, without a shuffle.
+
+    Of rows that share the place where a share ends, as repeated keys do, any are taken.
+    """
+    ends = cut_points(placed, wanted)
+    if not ends:
+        return placed.limit(0)
+    kind = placed.schema["__group"].dataType.simpleString()
+    small = placed.sparkSession.createDataFrame(ends, f"__g {kind}, __cut string, __taken long, __there long")
+    near = placed.join(F.broadcast(small), placed["__group"].eqNullSafe(small["__g"]))
+    whole = near.where((F.col("__place") < F.col("__cut")) | ((F.col("__place") == F.col("__cut")) & (F.col("__taken") == F.col("__there"))))
+    out = whole.select(*placed.columns)
+    for group, place, taken, there in ends:
+        if 0 < taken < there:
+            out = out.unionByName(placed.where(F.col("__group").eqNullSafe(F.lit(group)) & (F.col("__place") == place)).limit(taken))
+    return out
 
 
 def sample(df: DataFrame, fraction: float, seed: int = 0, key: Column | None = None, replacement: bool = False) -> DataFrame:
-    """Exactly floor(n * fraction) rows: those of the least random places, found by a bounded sort on each task."""
-    n = df.count()
-    return take_sample(df, int(n * fraction), seed, key, replacement, n)
+    """Exactly floor(n * fraction) rows, those of the least random places."""
+    if replacement:
+        n = df.count()
+        return take_sample(df, int(n * fraction), seed, key, True, n)
+    placed = df.withColumns({"__place": order_of(seed, key), "__group": F.lit(0)})
+    return least(placed, lambda _, n: int(n * fraction)).drop("__place", "__group")
 
 
 def take_sample(df: DataFrame, num: int, seed: int = 0, key: Column | None = None, replacement: bool = False, n: int | None = None) -> DataFrame:
@@ -29,31 +100,30 @@ def take_sample(df: DataFrame, num: int, seed: int = 0, key: Column | None = Non
             return df.limit(0)
         draws = df.sparkSession.range(num).select(F.least(F.floor(F.rand(seed) * n), F.lit(n - 1)).cast("long").alias("__draw"))
         return with_index(df, "__idx").join(draws, F.col("__idx") == F.col("__draw")).drop("__idx", "__draw")
-    return df.withColumn("__place", order_of(seed, key)).orderBy("__place").limit(num).drop("__place")
+    placed = df.withColumn("__place", order_of(seed, key))
+    if num <= FEW:
+        return placed.orderBy("__place").limit(num).drop("__place")
+    return least(placed.withColumn("__group", F.lit(0)), lambda _, n: min(n, num)).drop("__place", "__group")
 
 
 def sample_by_key(df: DataFrame, fractions: dict, seed: int = 0, order: Column | None = None, key: str = "key", replacement: bool = False) -> DataFrame:
     """int(rows of a key * its fraction) rows of each key; keys without a fraction are dropped."""
     if not fractions:
         return df.limit(0)
-    share = F.lit(None).cast("double")
-    for k, v in fractions.items():
-        share = F.when(F.col(key).eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(share)
-    kept = df.withColumn("__share", share).where(F.col("__share").isNotNull())
-    counts = {r[key]: r["count"] for r in kept.groupBy(key).count().collect()}
-    want = {k: int(n * fractions[k] + 1e-9) for k, n in counts.items()}
-    limit = F.lit(0)
-    for k, n in want.items():
-        limit = F.when(F.col(key).eqNullSafe(F.lit(k)), F.lit(n)).otherwise(limit)
+    wanted = lambda group, n: int(n * fractions[group] + 1e-9)
+    given = F.lit(False)
+    for k in fractions:
+        given = given | F.col(key).eqNullSafe(F.lit(k))
+    kept = df.where(given)
     if replacement:
-        parts = [take_sample(kept.where(F.col(key).eqNullSafe(F.lit(k))), n, seed + i, None, True) for i, (k, n) in enumerate(sorted(want.items(), key=str))]
+        counts = {r[key]: r["count"] for r in kept.groupBy(key).count().collect()}
+        parts = [take_sample(kept.where(F.col(key).eqNullSafe(F.lit(k))), wanted(k, n), seed + i, None, True) for i, (k, n) in enumerate(sorted(counts.items(), key=str))]
         out = parts[0] if parts else kept.limit(0)
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.drop("__share")
-    placed = kept.withColumns({"__limit": limit, "__place": order_of(seed, order)})
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("__place"))
-    return placed.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__limit")).drop("__share", "__limit", "__place", "__rank")
+        return out
+    placed = kept.withColumns({"__place": order_of(seed, order), "__group": F.col(key)})
+    return least(placed, wanted).drop("__place", "__group")
 
 
 def tagged_sample(df: DataFrame, num: int) -> DataFrame:

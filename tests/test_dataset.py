@@ -234,3 +234,19 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from counts").first()[0] == 1000
+
+
+def test_samples_by_cut_points(session, monkeypatch):
+    from quillon.operators import sampling
+
+    monkeypatch.setattr(sampling, "FEW", 1)
+    rows = session.parallelize([(None if i % 5 == 0 else "hot" if i % 5 < 4 else "b", i % 150) for i in range(600)], 4, "key string, value long")
+    got = rows.sample_by_key({"hot": 0.33, "b": 1.0, None: 0.5, "none": 0.5}, 2, order="value").collect()
+    assert {k: sum(1 for x, _ in got if x == k) for k in ("hot", "b", None)} == {"hot": 118, "b": 120, None: 60} and len(got) == 298
+    numbers = session.parallelize(range(500), 3)
+    for n in (0, 1, 77, 499, 500, 900):
+        found = numbers.take_sample(n, 4, key="value")
+        assert len(found) == len(set(found)) == min(n, 500)
+    assert set(numbers.take_sample(77, 4, key="value")) < set(numbers.take_sample(300, 4, key="value"))
+    same = session.parallelize([7] * 90, 3)
+    assert same.sample(0.5, 1, key="value").collect() == [7] * 45
