@@ -318,9 +318,9 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) from (node, text) rows, a text's node being the same in all its copies: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Every link is verified on whole shingle sets. A pair at 0.8 meets under
-    some key with a probability of about 0.999, a closer one with more. Under
-    a key of ``FEW`` nodes or fewer all are compared with each other, under
+    Every link is verified on whole shingle sets. Of 1,500
+    drawn pairs at 0.80 to 0.83 (60 to 400 words) 98.9 % met under some key;
+    the others are lost, so the search is not exact. Under a key of ``FEW`` nodes or fewer all are compared with each other, under
     others with three: the most central one and two that the key's hash picks.
     So the work is linear in a group's size; other members of a group are
     reached through the many keys they share.
