@@ -11,11 +11,14 @@ One side gives its own indices, the other side's neighbourhood meets them, and
 each pair that meets is verified.
 
 ``components`` links fingerprints at ``3`` bits or fewer. ``near_duplicates``
-is for shingle similarity: as 0.8 of similarity can be ten bits and more, the
-fingerprint there is one of single words (which an edit changes least) and a
-key is a segment's codeword index together with a min-hash of the shingles
-(repeated for 12 min-hashes); each document is compared with those it meets
-under each key, and links are verified on the shingle sets.
+is for shingle similarity, which fingerprints cannot decide. It is exact up to
+64-bit hash collisions: in any one order of all shingles, two sets at a
+similarity of t have one in common among the first n - ceil(t n) + 1 of each, so
+these are keys. The order has shingles that are frequent in a sample last, so
+few keys are crowded; which they are changes work, never results. Under a key
+of few texts all pairs are candidates; under others each text first meets one
+hub, and keys whose texts are in several groups still are searched whole in
+pairs of blocks. Links are verified on the shingle sets.
 
 Defined results: a null or wordless text has the fingerprint zero and is linked
 as any other; null ids never are a component's id unless it has no other;
@@ -25,6 +28,7 @@ columns pass through ``deduplicated``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,9 +45,12 @@ from .components import connected_components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: More left rows than this under one key: their links are found by search in blocks, without all pairs.
 HOT, BLOCK = 512, 2048
-MINHASHES = 12
-#: Under a key of this many documents at most, each is compared with all; under others with three of them.
+#: Under a key of this many texts at most, all pairs are candidates; larger ones are linked through hubs, then searched in blocks.
 FEW = 16
+#: Shingles a block holds when a crowded key is searched, a text counting as TEXT shingles more; columns multiplied at once.
+TILE, TEXT, COLUMNS = 400_000, 200, 4096
+#: Texts whose shingles are counted to order them by frequency, and how many frequent ones are told to the workers.
+COUNTED, FREQUENT = 6000, 200_000
 
 
 class Golay:
@@ -248,54 +255,45 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _mix(h: np.ndarray, seed: int) -> np.ndarray:
-    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
-    return x * np.uint64(0xD6E8FEB86659FD93)
-
-
-def _fuzzy_keys(fp: np.ndarray, least: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): for each min-hash the key with a segment's own index, or with its neighbours'."""
-    g, seg = golay(), segments(fp)
-    rows, keys = [], []
-    for i in range(least.shape[1]):
-        j = i % 3
-        if wide:
-            near, real = g.near(seg[j], SEGMENTS[j][1])
-            r, c = np.nonzero(real)
-            idx = near[r, c]
-        else:
-            r, idx = np.arange(len(fp)), g.index(seg[j])
-        rows.append(r)
-        keys.append(_mix(least[r, i] ^ (idx.astype(np.uint64) << np.uint64(5)), i).view(np.int64))
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(node, fp, least) from (node, text): fingerprint of the words, min-hashes of the shingles."""
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that are in three or more of about ``COUNTED`` texts, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, least = [], []
             for t in batch["text"]:
-                h = shingle_hashes(t.as_py(), words)
-                fps.append(_signed(simhash(shingle_hashes(t.as_py(), 1))))
-                least.append([int(_mix(h, i).min().view(np.int64)) if len(h) else i for i in range(MINHASHES)])
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(fps, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["node", "fp", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["s"])
+
+    share = int(1_000_000 * min(1.0, COUNTED / max(1, docs.count())))
+    some = docs.select("text").where(F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1_000_000)) < share)
+    counts = map_arrow(some, run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
+    got = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
+    s, n = got["s"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
+
 
-    return map_arrow(docs.select("node", "text"), run, "node long, fp long, least array<long>")
+def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity n) + 1 of a set of shingles, the frequent ones being last in the order."""
+    known, counts = frequent
+    rank = np.zeros(len(s), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        rank = np.where(known[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
-def _fuzzy_rows(sketches: DataFrame, wide: bool) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, size, keys) from (node, text), for texts with words."""
+    frequent = _frequent(docs, words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                least = part["least"].flatten().to_numpy().reshape(-1, MINHASHES).view(np.uint64)
-                rows, keys = _fuzzy_keys(part["fp"].to_numpy(), least, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part["node"].to_numpy()[rows])], names=["key", "node"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch["text"]]
+            keys = [_prefix(s, frequent, similarity).view(np.int64) if len(s) else [] for s in sets]
+            cols = [batch["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "keys"])
 
-    return map_arrow(sketches, run, "key long, node long")
+    return map_arrow(docs.select("node", "text"), run, "node long, size long, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -315,37 +313,115 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("node", "text"), run, "node long, s array<long>")
 
 
+def _tile_links(nodes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links at ``similarity`` that join what is apart: texts outside the largest group are compared with all."""
+    names, group, counts = np.unique(groups, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    outside = np.flatnonzero(group != counts.argmax())
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, col, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[col]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(outside), len(sets)), np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        both += part[outside] @ part.T
+    alike = (both >= similarity * (size[outside][:, None] + size[None, :] - both.astype(np.float64))) & (group[outside][:, None] != group[None, :])
+    r, c = np.nonzero(alike)
+    # One link for each two groups is enough.
+    _, first = np.unique(np.sort(np.stack([group[outside[r]], group[c]]), axis=0), axis=1, return_index=True) if len(r) else (None, [])
+    return [(int(nodes[outside[r[i]]]), int(nodes[c[i]])) for i in first]
+
+
+def _crowded_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the groups under each key of ``members`` (key, node, size, part): every pair of texts of different groups is compared.
+
+    A group larger than a block has blocks of its own, which are not paired
+    with each other; the other groups share blocks.
+    """
+    weight = F.sum(F.col("size") + TEXT)
+    blocks = lambda w: F.ceil(w / TILE).cast("int")
+    parts = members.groupBy("key", "part").agg(blocks(weight).alias("nb"), weight.alias("w"))
+    large = parts.where("nb > 1").select("key", "part", "nb")
+    mixed = parts.where("nb = 1").groupBy("key").agg(blocks(F.sum("w")).alias("nb")).withColumn("part", F.lit(None).cast("long"))
+    tiles = large.unionByName(mixed).select("key", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), "part", "nb")
+    tiles = materialize(tiles.select("key", F.struct("part", "i").alias("tile"), "nb"), "tiles")
+    x, y = tiles.select("key", F.col("tile").alias("x")), tiles.select("key", F.col("tile").alias("y"))
+    pairs = x.join(y, "key").where((F.col("x") < F.col("y")) | (F.col("x").eqNullSafe(F.col("y")) & F.col("x.part").isNull()))
+    pairs = pairs.where(F.col("x.part").isNull() | F.col("y.part").isNull() | (F.col("x.part") != F.col("y.part")))
+    pairs = pairs.select("key", F.xxhash64("key", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
+    dealt = members.join(large.withColumnRenamed("nb", "own"), ["key", "part"], "left").join(mixed.select("key", F.col("nb").alias("shared")), "key", "left")
+    number = F.pmod(F.xxhash64("node"), F.coalesce("own", "shared")).cast("int")
+    dealt = dealt.select("key", "node", F.col("part").alias("group"), F.struct(F.when(F.col("own").isNotNull(), F.col("part")).alias("part"), number.alias("i")).alias("tile"))
+    placed = dealt.alias("d").join(pairs.alias("p"), (F.col("d.key") == F.col("p.key")) & F.col("d.tile").eqNullSafe(F.col("p.tile")))
+    placed = materialize(placed.select("pair", "node", "group"), "placed")
+    placed = placed.join(sets, "node").repartition("pair").sortWithinPartitions("pair").select("pair", "node", "group", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, groups, held = None, [], [], []
+
+        def links() -> pa.RecordBatch:
+            found = _tile_links(np.array(nodes, np.int64), held, np.array(groups, np.int64), similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch[c].to_pylist() for c in ("pair", "node", "group")]
+            for i, (pair, node, group) in enumerate(zip(*cols, strict=True)):
+                if pair != now:
+                    if held:
+                        yield links()
+                    now, nodes, groups, held = pair, [], [], []
+                nodes.append(node)
+                groups.append(group)
+                held.append(batch["s"][i].values.to_numpy().copy())
+        if held:
+            yield links()
+
+    return map_arrow(placed, run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) from (node, text) rows, a text's node being the same in all its copies: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Every link is verified on whole shingle sets. Of 1,500
-    drawn pairs at 0.80 to 0.83 (60 to 400 words) 98.9 % met under some key;
-    the others are lost, so the search is not exact. Under a key of ``FEW`` nodes or fewer all are compared with each other, under
-    others with three: the most central one and two that the key's hash picks.
-    So the work is linear in a group's size; other members of a group are
-    reached through the many keys they share.
+    All groups are found, as if every pair had been compared. Two texts alike
+    share a key; each key's texts end in one group, or every pair of them that
+    is in different groups has been verified. So the work is linear in the size
+    of a group around a hub, and grows with the square only of texts that share
+    a crowded key, are in different groups and stay apart.
     """
     spark = docs.sparkSession
-    sketches = materialize(_sketches(docs, words).dropDuplicates(["node"]), "sketches")
-    own = materialize(_fuzzy_rows(sketches, False), "keys")
-    sizes = own.groupBy("key").agg(F.count("*").alias("n"))
+    prefixes = materialize(_prefixes(docs, words, similarity).dropDuplicates(["node"]), "prefixes")
+    own = prefixes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    sizes = materialize(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = materialize(own.join(sizes, "key"), "shared")
+    release(spark)
     # How many others a node shares its keys with: greatest for the text that the others are copies of.
-    central = own.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
-    near_all = F.col("w") * 1024 + F.pmod(F.xxhash64("key", "node"), F.lit(1024))
-    picks = [F.max_by("node", near_all), F.min_by("node", F.xxhash64("key", "node")), F.max_by("node", F.xxhash64("key", "node"))]
-    hubs = own.join(central, "node").groupBy("key").agg(F.count("*").alias("n"), F.array(*picks).alias("hubs"))
-    chosen = own.join(hubs, "key").where((F.col("n") <= FEW) | F.array_contains("hubs", F.col("node"))).select("key", F.col("node").alias("hub"))
-    met = _fuzzy_rows(sketches, True).join(chosen, "key").where("node <> hub")
-    pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    # Of 12 min-hashes a pair at 0.8 has 3 or fewer in common once in 17,000 times.
-    least = lambda n: sketches.select(F.col("node").alias(n), F.col("least").alias(f"least_{n}"))
-    alike = F.aggregate(F.zip_with("least_a", "least_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(least("a"), "a").join(least("b"), "b").select("a", "b", alike.alias("alike")).where("alike >= 4")
-    pairs = materialize(pairs, "pairs")
+    central = materialize(shared.groupBy("node").agg(F.sum("n").alias("w")), "central")
+
+    def possible(x: str, y: str):
+        """Whether two texts that meet at these places of the order can be alike: at most so many are in common."""
+        most = F.least(f"pos_{x}", f"pos_{y}") + 1 + F.least(F.col(f"size_{x}") - F.col(f"pos_{x}"), F.col(f"size_{y}") - F.col(f"pos_{y}")) - 1
+        return most >= F.lit(similarity / (1 + similarity)) * (F.col(f"size_{x}") + F.col(f"size_{y}")) - F.lit(1e-6)
+
+    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("pos").alias(f"pos_{x}"))
+    few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
+    met = side(few, "a").join(side(few, "b"), "key").where(F.col("a") < F.col("b")).where(possible("a", "b")).select("a", "b")
+    # Under crowded keys each text meets one hub, the most central of all its keys' ones.
+    crowded = materialize(many.join(central, "node"), "crowded")
+    hubs = crowded.groupBy("key").agg(F.max(F.struct("w", "node")).alias("hub"))
+    hub = crowded.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
+    to_hub = hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    pairs = materialize(met.unionByName(to_hub).groupBy("a", "b").agg(F.count("*").alias("alike")), "pairs")
     release(spark)
     ends = F.explode(F.array("a", "b")).alias("node")
-    sets = docs.join(pairs.select(ends).distinct(), "node", "left_semi")
-    sets = materialize(_shingle_sets(sets, words), "sets")
+    needed = pairs.select(ends).unionByName(crowded.select("node")).distinct()
+    sets = materialize(_shingle_sets(docs.join(needed, "node", "left_semi"), words).dropDuplicates(["node"]), "sets")
     release(spark)
 
     def verified(some: DataFrame) -> DataFrame:
@@ -356,13 +432,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     # First each text with the one most like it; then only what would join groups that are apart still.
     best = pairs.select("a", "b", "alike", ends).groupBy("node").agg(F.max_by(F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")), F.col("alike") * 1024 + F.pmod(F.xxhash64("a", "b"), F.lit(1024))).alias("other"))
-    first = verified(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    groups = connected_components(first, "a", "b")
+    tried = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).unionByName(to_hub).distinct(), "tried")
+    found = verified(tried)
+    groups = connected_components(found, "a", "b")
     of = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"group_{n}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
-    apart = materialize(apart.join(first, ["a", "b"], "left_anti"), "apart")
-    more = verified(apart)
-    return connected_components(first.unionByName(more), "a", "b")
+    apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
+    found = found.unionByName(verified(apart))
+    members = crowded.select("key", "node", "size").join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+    several = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    members = materialize(members.join(several, "key", "left_semi"), "members")
+    if not members.isEmpty():
+        found = found.unionByName(materialize(_crowded_links(members, sets, similarity), "links"))
+        release(spark)
+    return connected_components(found, "a", "b")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

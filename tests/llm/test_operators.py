@@ -176,6 +176,63 @@ def test_near_duplicates_leave_one_of_each_group(spark, few, monkeypatch):
     assert {r["doc_id"] for r in got.collect()} == {min(d[0] for d in docs if d[2] == g) for g in range(30)}
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at, new = rng.randrange(len(out)), f"n{rng.randrange(10**6)}"
+        out[at : at + rng.randrange(2)] = [new] if rng.random() < 0.6 else []
+    return out
+
+
+def hard_near_texts():
+    """Short texts, pairs about 0.8, chains, dense groups around no text, and different texts that share most of one passage."""
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 5000}"
+    texts = []
+    for n in (5, 6, 9, 12, 13, 14, 20, 30, 60) * 12:
+        base = [word() for _ in range(n)]
+        texts += [base] + [edited(rng, base, 1 + k % 2) for k in range(3)]
+    for _ in range(3):
+        now = [word() for _ in range(80)]
+        for _ in range(40):
+            now = edited(rng, now, 1)
+            texts.append(now)
+    for n in (60, 100, 200):
+        base = [word() for _ in range(n)]
+        texts += [edited(rng, base, 1 + k % 4) for k in range(70)]
+    passage = [word() for _ in range(60)]
+    texts += [[word() for _ in range(9 + k % 4)] + passage for k in range(60)]
+    return sorted({" ".join(t) for t in texts if t})
+
+
+def brute_near_groups(texts, similarity=0.8, words=5):
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in split]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("tile", [400_000, 6000])
+def test_near_duplicates_against_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", tile, raising=False)
+    texts = hard_near_texts()
+    want = set(brute_near_groups(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.deduplicated(df).collect()} == want
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = simhash.deduplicated(odd.withColumn("component", F.lit(1)).withColumn("key", F.lit("x")))
     found = [(r["doc_id"], r["text"]) for r in got.collect()]
