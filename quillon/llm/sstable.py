@@ -12,13 +12,15 @@ the sparse block index (last key of each block), binary search over restarts,
 at most 16 entries. Keys are 9 bytes that sort as the ids do, nulls first.
 Values are token ids, little-endian, 2 bytes each where the vocabulary allows.
 
-The table is dealt into shards by ranges of the id, so ascending shards hold
-ascending ids. A task writes a shard under a name of its own and names it in
-its result, so a lost or doubled task leaves only files that no manifest lists.
+The table is dealt into shards by ranges of the id (and of the text's hash, so
+one id may fill several), so ascending shards hold ascending ids. A task writes
+a shard under a name of its own and names it in its result, so a lost or
+doubled task leaves only files that no manifest lists. The folder is one that
+pyarrow opens: local, hdfs, s3 (also as s3a), gs or abfss.
 
 Defined results: a null text counts as empty (the end id alone); rows of one
-id are all kept, ordered by text; an empty table gives no shards; other
-columns are not stored.
+id are all kept, ordered by the XXH64 of their text; texts of any length are
+encoded whole; an empty table gives no shards; other columns are not stored.
 """
 
 from __future__ import annotations
@@ -29,31 +31,28 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import tiktoken
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bucket_of, id_bounds, map_arrow, materialize, new_path, worker_cache
-from .bpe import Memo
+from ._common import map_arrow, materialize, new_path, worker_cache
+from .bpe import byte_letters
 
-#: Words that a worker's cache holds.
-CACHE = 450_000
+#: Bytes of input files that make a shard more.
+SHARD = 1 << 26
 MAGIC = b"QLSST001"
 BLOCK, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
-RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
-#: Marks that end a word and are tokens of their own beside letters.
-MARKS = ".,!?;:#*$%&|)"
-BLANK = re.compile(r"\s")
-ODD = re.compile(r"  |\s \s")
+# Fixed value: how byte-level vocabularies cut text into pieces, in the form that does not go back over long runs.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 FOOTER = struct.Struct("<QQQQQQBxxxxxxx")  # index offset and size, Bloom offset and size, entries, tokens, bytes an id
 
 
@@ -224,181 +223,124 @@ class Reader:
         return found
 
 
-class PieceEncoder:
-    """The tokenizers library on a byte-level vocabulary, with a cache of its pieces.
+class Encoder:
+    """Ids as the tokenizers library gives them, packed as little-endian integers.
 
-    A space that has no white space on both sides starts a token or ends one run
-    of it, so a text splits there into pieces that the library encodes alike by
-    themselves. Texts with other spaces (two in a row, or between line ends) or
-    with the string of a special token go to it whole.
+    Where ``proven`` holds, tiktoken's merge loop, several times as fast, gives
+    the same ids; the library gets texts with the string of a special token.
     """
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, fast: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(file.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        spec = json.loads(file)
-        pre = spec.get("pre_tokenizer") or {}
-        self.pieces = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.type = "<u2" if self.size <= 1 << 16 else "<u4"
-        #: By what stands before a word (a space, or nothing in front of a text): ids of words met twice, and once lately.
-        self.kept: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.young: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.tails = Memo(lambda tail: self._library([tail])[0], 10_000)
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
-        for token, i in vocab.items():  # a letter a byte
-            self.bytes[i] = len(token)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.type == "<u2" else "I"
-        return [array(kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _whole(self, text: str) -> bool:
-        """Whether the text must go to the library as it is."""
-        if not self.pieces or "  " in text or any(x in text for x in self.special):
-            return True
-        # Of white space other than the space, texts hold line ends alone as a rule.
-        return (" \n " in text or "\n \n" in text) if not any(c in text for c in RARE_SPACES) else bool(ODD.search(text))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        whole = [i for i, t in enumerate(texts) if self._whole(t)]
-        out: list = [b""] * len(texts)
-        for i in whole:
-            out[i] = self._library([texts[i]])[0]
-        rest = sorted(set(range(len(texts))).difference(whole))
-        if not rest:
-            return out
-        # Words of all texts as codes of a dictionary; each text's first word has no space before it.
-        lists = pc.split_pattern(pa.array([texts[i] for i in rest], pa.large_string()), " ")
-        coded = lists.values.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        at = lists.offsets.to_numpy()
-        heads = [words[c] for c in codes[at[:-1]].tolist()]
-        ids = self._known(words, " ") + self._known(heads, "")
-        codes[at[:-1]] = len(words) + np.arange(len(heads))
-        # The tokens of each code, gathered in the order of the words.
-        flat = np.frombuffer(b"".join(ids), self.type)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
-        start = np.cumsum(size) - size
-        n = size[codes]
-        end = np.cumsum(n)
-        tokens = flat[np.repeat(start[codes] - (end - n), n) + np.arange(end[-1])]
-        cuts = np.concatenate([[0], end])[at]
-        for i, a, b in zip(rest, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out[i] = tokens[a:b].tobytes()
-        return out
-
-    def _known(self, words: list[str], before: str) -> list[bytes]:
-        """Ids of each word with ``before`` in front."""
-        cache, young = self.kept[before], self.young[before]
-        found = list(map(cache.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if not missing:
-            return found
-        fresh, parts = [], []
-        for i in missing:
-            w = words[i]
-            ids = found[i] = young.get(w)
-            if ids is not None:  # met before: worth keeping
-                cache[w] = ids
-                continue
-            base = w.rstrip(MARKS)
-            if len(base) == len(w) or not base.isalpha():
-                base = w
-            fresh.append(i)
-            parts.append(base)
-        need = {b for b in parts if b not in cache and b not in young}
-        young |= zip(need, self._words(list(need), before), strict=True)
-        for i, base in zip(fresh, parts, strict=True):
-            w = words[i]
-            ids = young[base] if base in young else cache[base]
-            if len(base) < len(w):
-                ids = young[w] = ids + self.tails[w[len(base) :]]
-            found[i] = ids
-        if len(young) > CACHE // 3:
-            young.clear()
-        if len(cache) > CACHE:
-            cache.clear()
-        return found
-
-    def _words(self, words: list[str], before: str) -> list[bytes]:
-        """The library's ids; words without white space go to it many at a time, and are told apart by the bytes of their tokens."""
-        out = dict.fromkeys(words, b"")
-        plain = [w for w in words if before and w and not BLANK.search(w)]
-        rest = [w for w in words if not (before and w and not BLANK.search(w))]
-        out |= zip(rest, self._library([before + w for w in rest]), strict=True)
-        for at in range(0, len(plain), 4000):
-            part = plain[at : at + 4000]
-            ids = np.array(self.library.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)) + len(before))
-            cuts = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
-            data, size = ids.astype(self.type).tobytes(), int(self.type[-1])
-            low = 0
-            for w, c in zip(part, (cuts * size).tolist(), strict=True):
-                out[w] = data[low:c]
-                low = c
-        return [out[w] for w in words]
-
-
-def encoder(file: bytes) -> PieceEncoder:
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.type = "<u2" if size <= 1 << 16 else "<u4"
+        self.special = [x["content"] for x in json.loads(file)["added_tokens"]]
+        self.fast = tiktoken.Encoding("shards", pat_str=PIECES, mergeable_ranks=_ranks(json.loads(file)), special_tokens={}) if fast else None
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is not None and not any(x in text for x in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.type).tobytes()
+            except ValueError:  # white space so long that its expression engine gives up
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+
+
+def _ranks(spec: dict) -> dict[bytes, int]:
+    """Bytes to id of the single bytes and of what the merges make."""
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    ids = spec["model"]["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+    return {bytes(byte[c] for c in t): ids[t] for t in [*byte, *merged]}
+
+
+def proven(file: bytes) -> bool:
+    """Whether merging by least id of the merged bytes gives the library's ids on any text.
+
+    The library merges listed pairs only, tiktoken any two tokens whose bytes
+    are a token. Both take the least first, and a merge makes later ones
+    possible only (parts have lower ids than the whole). So they could differ
+    only where a token's bytes are left as another pair than the listed one;
+    what is left of these bytes does not depend on what stands around them,
+    and it is the listed pair if the library encodes them to the one token.
+    """
+    from tokenizers import Tokenizer
+
+    spec = json.loads(file)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if model["type"] != "BPE" or any((model.get(k) or v) != v for k, v in plain.items()):
+        return False
+    ids, letters = model["vocab"], byte_letters()
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [ids.get(a + b, -1) for a, b in pairs]
+    if any(c not in ids for c in letters) or any(x <= y for x, y in zip(made, [max(ids[c] for c in letters), *made], strict=False)):
+        return False
+    if any(max(ids[a], ids[b]) >= i for (a, b), i in zip(pairs, made, strict=True)):
+        return False
+    alone = Tokenizer.from_str(json.dumps({**spec, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    return all(e.ids == [i] for e, i in zip(alone.encode_batch_fast([a + b for a, b in pairs], add_special_tokens=False), made, strict=True))
+
+
+def encoder(file: bytes, fast: bool) -> Encoder:
     """One a worker process and file."""
-    return worker_cache(("pieces", xxhash.xxh3_128_digest(file)), lambda: PieceEncoder(file))
+    return worker_cache(("shards", xxhash.xxh3_128_digest(file)), lambda: Encoder(file, fast))
 
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path; Hadoop's names of the S3 scheme are one to pyarrow."""
+    path = re.sub("^s3[an]:", "s3:", path)
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
+def shard_count(df: DataFrame) -> int:
+    """Two for each core at least; more where the files behind ``df`` are large. It decides how documents are cut into files, never ids or their order."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size if size < 1 << 60 else 0  # the optimizer's way to say that it does not know
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-known // SHARD))
+
+
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode ``df`` into shards below ``folder``; the manifest (shard, path, entries, tokens) is the result, one row a shard."""
     spark = df.sparkSession
     with open(vocabulary, "rb") as f:
-        file = spark.sparkContext.broadcast(f.read())
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        data = f.read()
+    file, fast = spark.sparkContext.broadcast(data), proven(data)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = docs.withColumn("shard", bucket_of(F.col("id"), id_bounds(docs, "id", shards)))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
+    shards = shards or shard_count(docs)
+    # Ranges by id; rows of one id are told apart by their text, and equal rows by where they stood, so no id is too large for a shard.
+    docs = docs.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.col("id").asc_nulls_first(), F.col("mark"), F.col("row")]
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(order[0], "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file.value)
+        enc = encoder(file.value, fast)
         store, top = _store(folder)
         end = np.array([end_id], enc.type).tobytes()
-        shard = writer = out = name = None
-        done: list[tuple] = []
-
-        def finish() -> None:
-            if writer is not None:
-                writer.close()
-                out.close()
-                store.move(name + ".part", name)
-                done.append((shard, name, writer.entries, writer.tokens))
-
+        shard, out, writer = TaskContext.get().partitionId(), None, None
         for batch in batches:
-            step = max(1, int(batch.num_rows * 8e6 / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                ids, texts, which = part["id"].to_pylist(), part["text"].to_pylist(), part["shard"].to_pylist()
-                for i, s, value in zip(ids, which, enc.encode(texts), strict=True):
-                    if s != shard:
-                        finish()
-                        shard = s
-                        name = f"{top}/{s:06d}-{uuid.uuid4().hex}.sst"
-                        out = store.open_output_stream(name + ".part")
-                        writer = Writer(out, int(enc.type[-1]))
-                    writer.add(key_of(i), value + end)
-        finish()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "path", "entries", "tokens"])
+            if writer is None and batch.num_rows:
+                name = f"{top}/{shard:06d}-{uuid.uuid4().hex}.sst"
+                out = store.open_output_stream(name + ".part")
+                writer = Writer(out, int(enc.type[-1]))
+            for i, text in zip(batch["id"], batch["text"], strict=True):
+                writer.add(key_of(i.as_py()), enc.encode(text.as_py()) + end)
+        if writer is not None:
+            writer.close()
+            out.close()
+            store.move(name + ".part", name)
+            row = [pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (writer.entries, pa.int64()), (writer.tokens, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(row, names=["shard", "path", "entries", "tokens"])
 
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
-    made = map_arrow(dealt.select("shard", "id", "text"), run, "shard int, path string, entries long, tokens long")
+    made = map_arrow(dealt.select("id", "text"), run, "shard int, path string, entries long, tokens long")
     return materialize(made, "manifest")
 
 
@@ -408,10 +350,10 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     The driver sees the manifest only, a row a shard.
     """
     rows, start = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
-        rows.append((r["path"], start))
+    for i, r in enumerate(sorted(manifest.collect(), key=lambda r: r["shard"])):
+        rows.append((i, r["path"], start))
         start += r["tokens"]
-    files = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)), "path")
+    files = spark.createDataFrame(rows, "i int, path string, start long").repartitionById(max(1, len(rows)), F.col("i")).select("path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)

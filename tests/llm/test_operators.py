@@ -447,7 +447,8 @@ def test_sstable_table(odd, none):
 
     tk = Tokenizer.from_file(BYTE)
     got = sstable.encoded(odd, BYTE).collect()
-    texts = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in odd_rows()))
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64)
+    texts = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in odd_rows()), key=lambda r: (r[:2], signed(r[2])))
     want, start = [], 0
     for some, i, t in texts:
         ids = [*tk.encode(t, add_special_tokens=False).ids, 2]
@@ -457,13 +458,44 @@ def test_sstable_table(odd, none):
     assert sstable.encoded(none, BYTE).collect() == []
 
 
-def test_pieces_encode_as_whole_texts():
+def test_fast_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
-    tk, enc, rng = Tokenizer.from_file(BYTE), sstable.encoder(open(BYTE, "rb").read()), random.Random(3)
+    file = open(BYTE, "rb").read()
+    assert sstable.proven(file) and not sstable.proven(open(WORD, "rb").read())
+    tk, enc, rng = Tokenizer.from_file(BYTE), sstable.Encoder(file, True), random.Random(3)
     texts = ["".join(rng.choice("ab'st1.é字 \n\t\xa0 ") for _ in range(rng.randrange(14))) for _ in range(20_000)]
-    got = [np.frombuffer(x, enc.type).tolist() for x in enc.encode(texts)]
-    assert got == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [" " * 100_000 + "x", " \n" * 500_000 + "x", "a" * 50_000, "x<|endoftext|>y"]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        assert [np.frombuffer(enc.encode(t), enc.type).tolist() for t in part] == [e.ids for e in tk.encode_batch_fast(part, add_special_tokens=False)]
+    slow = sstable.Encoder(file, False)
+    assert all(slow.encode(t) == enc.encode(t) for t in texts[:500])
+
+
+def test_merges_out_of_order_are_not_proven():
+    import json
+
+    spec = json.load(open(BYTE))
+    merges = spec["model"]["merges"]
+    merges[10], merges[11] = merges[11], merges[10]
+    assert not sstable.proven(json.dumps(spec).encode())
+
+
+def test_one_id_fills_several_shards(spark):
+    from tokenizers import Tokenizer
+
+    docs = [(7, f"text {i % 50}") for i in range(400)] + [(i, "x") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    folder = sstable.new_path(spark, "shards")
+    manifest = sstable.write(df, folder, BYTE, 2, shards=8)
+    assert manifest.count() > 4 and max(r["entries"] for r in manifest.collect()) < 200
+    got = sorted(sstable.read(spark, manifest, folder).collect(), key=lambda r: r["start"])
+    tk = Tokenizer.from_file(BYTE)
+    assert [r["id"] for r in got] == sorted(d[0] for d in docs)
+    assert sum(r["n_tokens"] for r in got) == sum(len(tk.encode(t).ids) + 1 for _, t in docs)
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
 
 
 # -- BPE
