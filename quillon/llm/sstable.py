@@ -302,7 +302,7 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 
 def shard_count(df: DataFrame) -> int:
     """Two for each core at least; more where the files behind ``df`` are large. It decides how documents are cut into files, never ids or their order."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size if size < 1 << 60 else 0  # the optimizer's way to say that it does not know
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-known // SHARD))
 
