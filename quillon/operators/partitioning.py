@@ -44,4 +44,4 @@ def union_ordered(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def approx_size(df: DataFrame) -> int:
     """Bytes that the optimizer expects."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
