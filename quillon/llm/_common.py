@@ -4,16 +4,16 @@ native ``let`` binding, and id-range bucketing without a global window."""
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.callables import ship
+
 #: The word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,10 +25,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) a temporary one is set.
+    Where a session names none, a temporary one is set if all runs in one
+    process on one machine; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("quillon.shared.dir", found)
     return found.rstrip("/")
@@ -52,20 +55,15 @@ def worker_cache(name, make: Callable):
     return _worker[name]
 
 
-_shipped: set[str] = set()
+#: Bytes of an Arrow batch, for sessions that leave Spark's own bound: long texts should not fill a worker's memory.
+BATCH_BYTES, _UNBOUND = "8m", "67108864b"
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package shipped to the workers, once an application."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        top = Path(__file__).resolve().parents[1]
-        packed = Path(tempfile.mkdtemp(prefix="quillon-code-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(packed, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        context.addPyFile(str(packed))
+    """``df.mapInArrow`` with this package shipped to the workers, in batches of bounded size."""
+    ship(df)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _UNBOUND:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
@@ -78,30 +76,51 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     _paths.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _delete_all() -> None:
     for spark, path in _paths:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended first; its folder is then left to the cluster
             return
 
 
+#: Bytes of input for a partition, where a number of partitions is derived from the data.
+PART = 1 << 24
+
+
+def part_count(df: DataFrame, part: int = PART) -> int:
+    """Partitions for what ``df`` reads: one for ``part`` bytes of its leaves, two for each core at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # above: the optimizer's way to say that it does not know
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-known // part))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     It cuts the lineage as checkpoint() does, in compressed columns: a lost
     executor costs nothing that was written, and later passes prune columns.
+    Spark drops the write's own shuffle files when it ends. Small inputs do not
+    become many small files: a file stands for ``PART`` bytes of what the plan
+    reads, or there are two for each core.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # is read when a frame is made: coalesce makes one
+    try:
+        df.coalesce(part_count(df)).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

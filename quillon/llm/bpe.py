@@ -103,7 +103,7 @@ class Vocabulary:
         for i, x in enumerate(self.text):
             self.machine.add_word(x, i)
         self.machine.make_automaton()
-        self.fits = Memo(self._compatible, 1_000_000)
+        self.fits = Memo(self._compatible)
         size = max([*ids.values(), *self.special.values()]) + 1
         named: list[bytes] = [b""] * size
         for x, i in [*ids.items(), *self.special.items()]:
@@ -117,8 +117,9 @@ class Vocabulary:
         self.chunks = Memo(self._chunk)
         self.known = Memo(self._word)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
-        a, b = pair
+    def _compatible(self, pair: int) -> bool:
+        """Whether two tokens by rank (a << 32 | b) stay two when encoded together."""
+        a, b = pair >> 32, pair & 0xFFFFFFFF
         below = len(self.text) + 1  # merges of this rank or more can no longer cross the seam
         while True:
             made = self.pair.get((a, b))
@@ -151,7 +152,7 @@ class Vocabulary:
         at, token = 0, longest[0]
         while at < n:
             end = at + length[token]
-            if usable[end] and (not out or fits[out[-1], token]):
+            if usable[end] and (not out or fits[out[-1] << 32 | token]):
                 out.append(token)
                 at = end
                 if at < n:

@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, let, materialize
+from ._common import WORD, let, materialize, part_count
 
 SEED = 17
 #: Bound on the blocks of all sources together (four at least, and 1024 at most, for each source).
 UNITS = 65_536
+SHARDS = 16
 
 
 def text_size(text: Column) -> Column:
@@ -82,7 +83,7 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return flat.select("skey", upto.alias("upto"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = SEED, cap: int = 3, units: int = UNITS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, cap: int = 3, units: int = UNITS) -> DataFrame:
     """(id, size, source_size, target, shards) for each row of ``df``: the output shard of each time that the mix takes it."""
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"))
     return _mix(docs, shards, seed, cap, units).withColumnRenamed("id", id_col)
@@ -91,6 +92,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def _mix(docs: DataFrame, shards: int, seed: int, cap: int, units: int, *more_cols: str) -> DataFrame:
     n_sources = docs.select(F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).first()[0] or 1
     blocks = max(4, min(1024, 1 << ((units // n_sources).bit_length() - 1 if units >= n_sources else 0)))
+    # Broadcast only what ``units`` bounds; with more sources than that Spark picks the join by size.
+    small = F.broadcast if n_sources * blocks <= units else (lambda table: table)
     skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     docs = docs.select("id", "source", "size", *more_cols, skey.alias("skey"), key.alias("key"))
@@ -112,21 +115,33 @@ def _mix(docs: DataFrame, shards: int, seed: int, cap: int, units: int, *more_co
     # The one block of a source that the rest ends in: its last document that is taken.
     inside = Window.partitionBy("skey", "blk").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     ends = b.where((F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") > F.col("rest"))).select("skey", "blk", "start", "rest")
-    own = docs.select("skey", "blk", "key", "size").join(F.broadcast(ends), ["skey", "blk"])
+    own = docs.select("skey", "blk", "key", "size").join(small(ends), ["skey", "blk"])
     before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))
     taken = own.select("skey", "blk", "key", "size", (2 * before + F.col("size") <= 2 * F.col("rest")).alias("in")).where("in")
     cuts = taken.groupBy("skey", "blk").agg(F.max(F.struct("key", "size")).alias("cut"))
     ended = ends.select("skey", "blk", F.lit(True).alias("ends"))
     b = b.drop("size").join(ended, ["skey", "blk"], "left").join(cuts, ["skey", "blk"], "left")
 
-    # A bounded table (see ``units``), so documents need no shuffle to meet it.
-    got = docs.join(F.broadcast(b), ["skey", "blk"])
+    got = docs.join(small(b), ["skey", "blk"])
     upto_cut = F.coalesce(F.struct("key", "size") <= F.col("cut"), F.lit(False))
     more = F.when(F.col("ends"), upto_cut).otherwise((F.col("start") < F.col("rest")) & (F.col("size") > 0)).cast("int")
     return got.select("id", *more_cols, "size", "source_size", "target", F.slice("at", F.lit(1), F.col("repeats") + more).alias("shards"), "key")
 
 
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, seed: int = SEED) -> DataFrame:
+def mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of ``df``: shard after shard, each in its order.
+
+    A shard fills as many partitions, by ranges of its order, as the size of
+    the input asks for, so that no task holds a whole shard.
+    """
+    rows = mixed_rows(df, id_col, text_col, source_col, shards, seed)
+    bits = max(0, (-(-part_count(df) // shards) - 1).bit_length())
+    part = F.shiftright("__place", 64 - bits) + (1 << bits - 1) if bits else F.lit(0)
+    to = (F.col("__shard") * (1 << bits) + part).cast("int")
+    return rows.repartitionById(shards << bits, to).sortWithinPartitions("__shard", "__place").select(*df.columns)
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of ``df`` as often as it is taken, with the columns __shard and __place (its order within the shard)."""
     taken = [F.col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)]
     docs = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), F.struct(*taken).alias("row"))

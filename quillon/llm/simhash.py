@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, release, worker_cache
+from ._common import map_arrow, materialize, worker_cache
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: More left rows than this under one key: their links are found by search in blocks, without all pairs.
-HOT, BLOCK = 512, 2048
+HOT, BLOCK = 512, 8192
 #: Under a key of this many texts at most, all pairs are candidates; larger ones are linked through hubs, then searched in blocks.
 FEW = 16
 #: Shingles a block holds when a crowded key is searched, a text counting as TEXT shingles more; columns multiplied at once.
@@ -230,13 +230,14 @@ def links(fps: DataFrame, distance: int = 3, hot: int = HOT) -> DataFrame:
     """Links (src, dst) that connect all fingerprints (distinct, column fp) at ``distance`` (3 at most) bits or fewer."""
     if distance > 3:
         raise ValueError("the keys cover three differing bits")
-    left, right = _keyed(fps, left_keys), _keyed(fps, right_keys)
+    left, right = materialize(_keyed(fps, left_keys), "left"), _keyed(fps, right_keys)
     many = materialize(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot")
     extra = None
     if not many.isEmpty():
+        right = materialize(right, "right")
         members = left.join(many, "key", "left_semi").unionByName(right.join(many, "key", "left_semi")).distinct()
         extra = _hot_links(members, distance)
-        left = left.join(many, "key", "left_anti")
+        left, right = (x.join(many, "key", "left_anti") for x in (left, right))
     l, r = left.select("key", F.col("fp").alias("src")), right.select("key", F.col("fp").alias("dst"))
     met = l.join(r, "key").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance))
     found = met.select("src", "dst")
@@ -395,12 +396,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     of a group around a hub, and grows with the square only of texts that share
     a crowded key, are in different groups and stay apart.
     """
-    spark = docs.sparkSession
     prefixes = materialize(_prefixes(docs, words, similarity).dropDuplicates(["node"]), "prefixes")
     own = prefixes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     sizes = materialize(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = materialize(own.join(sizes, "key"), "shared")
-    release(spark)
     # How many others a node shares its keys with: greatest for the text that the others are copies of.
     central = materialize(shared.groupBy("node").agg(F.sum("n").alias("w")), "central")
 
@@ -418,11 +417,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     hub = crowded.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
     to_hub = hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
     pairs = materialize(met.unionByName(to_hub).groupBy("a", "b").agg(F.count("*").alias("alike")), "pairs")
-    release(spark)
     ends = F.explode(F.array("a", "b")).alias("node")
     needed = pairs.select(ends).unionByName(crowded.select("node")).distinct()
     sets = materialize(_shingle_sets(docs.join(needed, "node", "left_semi"), words).dropDuplicates(["node"]), "sets")
-    release(spark)
 
     def verified(some: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
@@ -444,7 +441,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     members = materialize(members.join(several, "key", "left_semi"), "members")
     if not members.isEmpty():
         found = found.unionByName(materialize(_crowded_links(members, sets, similarity), "links"))
-        release(spark)
     return connected_components(found, "a", "b")
 
 

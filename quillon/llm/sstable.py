@@ -44,10 +44,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, new_path, worker_cache
+from ._common import map_arrow, materialize, new_path, part_count, worker_cache
 from .bpe import byte_letters
 
-#: Bytes of input files that make a shard more.
+#: Bytes of input for a shard.
 SHARD = 1 << 26
 MAGIC = b"QLSST001"
 BLOCK, RESTART, BLOOM_BITS, BLOOM_HASHES = 1 << 16, 16, 10, 7
@@ -300,13 +300,6 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def shard_count(df: DataFrame) -> int:
-    """Two for each core at least; more where the files behind ``df`` are large. It decides how documents are cut into files, never ids or their order."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    known = size if size < 1 << 60 else 0  # the optimizer's way to say that it does not know
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-known // SHARD))
-
-
 def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode ``df`` into shards below ``folder``; the manifest (shard, path, entries, tokens) is the result, one row a shard."""
     spark = df.sparkSession
@@ -314,7 +307,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str
         data = f.read()
     file, fast = spark.sparkContext.broadcast(data), proven(data)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shards = shards or shard_count(docs)
+    shards = shards or part_count(docs, SHARD)
     # Ranges by id; rows of one id are told apart by their text, and equal rows by where they stood, so no id is too large for a shard.
     docs = docs.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("id").asc_nulls_first(), F.col("mark"), F.col("row")]

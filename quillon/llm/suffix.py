@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, release, worker_cache
+from ._common import map_arrow, materialize, worker_cache
 
 LENGTH, PREFIX, RANGE = 200, 48, 20
 #: Classes of more hulls than this are ranked by groupings alone, others in one task each.
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     prefix = prefix or min(PREFIX, length // 2)
     if not 8 <= prefix < length < 1 << 15:
         raise ValueError("length must be over 16 and under 32,768 bytes")
-    spark, window = docs.sparkSession, length - prefix + 1
+    window = length - prefix + 1
     copies = docs.groupBy("node").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).cast("long").alias("end"))
     copies = copies.where((F.col("n") > 1) & (F.col("end") >= length)).select("node", F.lit(0).cast("long").alias("start"), "end")
 
@@ -259,11 +259,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     # Written first, as are the groups in _ranked: a join of two plain exchanges is one whose hot keys Spark splits.
     often = materialize(samples.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"), "often")
     rows = materialize(samples.join(often, "cls", "left_semi"), "samples")
-    release(spark)
 
     one = _ranked(rows.select("cls", "hull", "node", "at", F.lit(True).alias("open")), ["cls"], "hulls")
     spans = [copies, one.where("shared and open").select("node", (_position() - _left()).alias("start"), (_position() + _right()).alias("end"))]
-    release(spark)
 
     # The bytes of the hulls that go on.
     wanted = one.where("rep").select("node", "cls", "at", (F.col("open") & ~F.col("shared")).alias("open"), (F.col("n") > hot).alias("hot"))
@@ -272,7 +270,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     texts = docs.select("node", "text").join(wanted, "node")
     hulls = texts.select("node", F.col("text").cast("binary").alias("bytes"), F.explode("want").alias("w")).select("node", "bytes", "w.*")
     hulls = materialize(hulls.select("cls", "node", "at", "open", "hot", cut.alias("bytes")), "bytes")
-    release(spark)
     spans.append(_few(hulls.where("not hot").drop("hot"), length, window))
     spans += _many(hulls.where("hot").drop("hot"), length, window)
 
@@ -280,7 +277,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     for x in spans[1:]:
         every = every.unionByName(x)
     got = materialize(every.distinct().groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
     return got
 
 
