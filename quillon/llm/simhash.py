@@ -18,7 +18,8 @@ these are keys. The order has shingles that are frequent in a sample last, so
 few keys are crowded; which they are changes work, never results. Under a key
 of few texts all pairs are candidates; under others each text first meets one
 hub, and keys whose texts are in several groups still are searched whole in
-pairs of blocks. Links are verified on the shingle sets.
+pairs of blocks. Parity bitmaps, a few dozen bytes a text, exclude most
+candidates without a doubt; the others are verified on the shingle sets.
 
 Defined results: a null or wordless text has the fingerprint zero and is linked
 as any other; null ids never are a component's id unless it has no other;
@@ -283,18 +284,70 @@ def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity:
     return s[np.lexsort((s, rank))][: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """Parity of how many of a set's shingles fall on each bit; as many bits as shingles (a power of two, 64 at least).
+
+    Shingles that two sets share cancel out, so at least as many shingles are
+    in one set alone as bits differ. Halves xored give the shorter signature.
+    """
+    m = max(64, 1 << (len(s) - 1).bit_length())
+    bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(signatures: np.ndarray) -> np.ndarray:
+    half = signatures.shape[1] // 2
+    return signatures[:, :half] ^ signatures[:, half:]
+
+
+def _words_of(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+
+
+def _most_apart(similarity: float) -> float:
+    """Shingles that are in one of two sets alone, at most, as a share of both sizes."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _maybe_alike(a: list[bytes], b: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs their signatures leave possible; ``sizes``: of both sets together. Sets alike have lengths of the same or the next power of two."""
+    out = np.zeros(len(a), bool)
+    kinds = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for n, m in np.unique(kinds, axis=0).tolist():
+        if max(n, m) > 2 * min(n, m):
+            continue
+        at = np.flatnonzero((kinds == (n, m)).all(1))
+        x, y = _words_of([a[i] for i in at]), _words_of([b[i] for i in at])
+        x, y = (_folded(x) if n > m else x), (_folded(y) if m > n else y)
+        out[at] = np.bitwise_count(x ^ y).sum(1) <= _most_apart(similarity) * sizes[at] + 1e-6
+    return out
+
+
+def _possible_pairs(pairs: DataFrame, signatures: DataFrame, similarity: float) -> DataFrame:
+    """Of (a, b, alike) rows those that the signatures of (node, size, sig) leave possible."""
+    side = lambda x: signatures.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = _maybe_alike(batch["sig_a"].to_pylist(), batch["sig_b"].to_pylist(), batch["sizes"].to_numpy(), similarity)
+            yield batch.select(["a", "b", "alike"]).filter(pa.array(kept))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return map_arrow(joined.select("a", "b", "alike", (F.col("size_a") + F.col("size_b")).alias("sizes"), "sig_a", "sig_b"), run, "a long, b long, alike long")
+
+
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, size, keys) from (node, text), for texts with words."""
+    """(node, size, sig, keys) from (node, text)."""
     frequent = _frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch["text"]]
             keys = [_prefix(s, frequent, similarity).view(np.int64) if len(s) else [] for s in sets]
-            cols = [batch["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "keys"])
+            cols = [batch["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_signature, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "sig", "keys"])
 
-    return map_arrow(docs.select("node", "text"), run, "node long, size long, keys array<long>")
+    return map_arrow(docs.select("node", "text"), run, "node long, size long, sig binary, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -340,11 +393,55 @@ def _tile_links(nodes: np.ndarray, sets: list[np.ndarray], groups: np.ndarray, s
     return [(int(nodes[outside[r[i]]]), int(nodes[c[i]])) for i in first]
 
 
-def _crowded_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between the groups under each key of ``members`` (key, node, size, part): every pair of texts of different groups is compared.
+def _tile_possible(signatures: list[bytes], sizes: np.ndarray, groups: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts of a tile may be like one of another group."""
+    out = np.zeros(len(sizes), bool)
+    length = np.array([len(x) for x in signatures])
+    for m in np.unique(length).tolist():
+        own, longer = np.flatnonzero(length == m), np.flatnonzero(length == 2 * m)
+        x = _words_of([signatures[i] for i in own])
+        near, y = own, x
+        if len(longer):
+            near, y = np.concatenate([own, longer]), np.concatenate([x, _folded(_words_of([signatures[i] for i in longer]))])
+        step = max(1, 4_000_000 // len(near))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step]
+            apart = np.zeros((len(rows), len(near)), np.int64)
+            for k in range(x.shape[1]):
+                apart += np.bitwise_count(x[at : at + step, k, None] ^ y[None, :, k])
+            hit = (apart <= _most_apart(similarity) * (sizes[rows][:, None] + sizes[near][None, :]) + 1e-6) & (groups[rows][:, None] != groups[near][None, :])
+            out[rows] |= hit.any(1)
+            out[near] |= hit.any(0)
+    return out
+
+
+def _by_tile(placed: DataFrame, found, schema: str) -> DataFrame:
+    """``found(columns)`` (a record batch) over the rows of each ``pair``, in one task each; the columns are lists, binary and array values as Arrow scalars."""
+    names = placed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            cols = [list(batch[c]) if c == "s" else batch[c].to_pylist() for c in names]
+            for row in zip(*cols, strict=True):
+                if row[0] != now:
+                    if held:
+                        yield found([list(c) for c in zip(*held, strict=True)])
+                    now, held = row[0], []
+                held.append(tuple(x.values.to_numpy().copy() if isinstance(x, pa.ListScalar) else x for x in row))
+        if held:
+            yield found([list(c) for c in zip(*held, strict=True)])
+
+    return map_arrow(placed.repartition("pair").sortWithinPartitions("pair"), run, schema)
+
+
+def _crowded_links(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) between the groups under each key of ``members`` (key, node, size, sig, part): every pair of texts of different groups is compared.
 
     A group larger than a block has blocks of its own, which are not paired
-    with each other; the other groups share blocks.
+    with each other; the other groups share blocks. Pairs of blocks are first
+    searched by signatures; the shingle sets of texts that may have a partner
+    then decide.
     """
     weight = F.sum(F.col("size") + TEXT)
     blocks = lambda w: F.ceil(w / TILE).cast("int")
@@ -359,32 +456,23 @@ def _crowded_links(members: DataFrame, sets: DataFrame, similarity: float) -> Da
     pairs = pairs.select("key", F.xxhash64("key", "x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("tile"))
     dealt = members.join(large.withColumnRenamed("nb", "own"), ["key", "part"], "left").join(mixed.select("key", F.col("nb").alias("shared")), "key", "left")
     number = F.pmod(F.xxhash64("node"), F.coalesce("own", "shared")).cast("int")
-    dealt = dealt.select("key", "node", F.col("part").alias("group"), F.struct(F.when(F.col("own").isNotNull(), F.col("part")).alias("part"), number.alias("i")).alias("tile"))
+    dealt = dealt.select("key", "node", "size", "sig", F.col("part").alias("group"), F.struct(F.when(F.col("own").isNotNull(), F.col("part")).alias("part"), number.alias("i")).alias("tile"))
     placed = dealt.alias("d").join(pairs.alias("p"), (F.col("d.key") == F.col("p.key")) & F.col("d.tile").eqNullSafe(F.col("p.tile")))
-    placed = materialize(placed.select("pair", "node", "group"), "placed")
-    placed = placed.join(sets, "node").repartition("pair").sortWithinPartitions("pair").select("pair", "node", "group", "s")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, groups, held = None, [], [], []
+    def possible(columns: list) -> pa.RecordBatch:
+        pair, node, size, sig, group = columns
+        kept = _tile_possible(sig, np.array(size, np.int64), np.array(group, np.int64), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[kept]) for c in (pair, node, group)], names=["pair", "node", "group"])
 
-        def links() -> pa.RecordBatch:
-            found = _tile_links(np.array(nodes, np.int64), held, np.array(groups, np.int64), similarity)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    maybe = materialize(_by_tile(placed.select("pair", "node", "size", "sig", "group"), possible, "pair long, node long, group long"), "maybe")
+    sets = _shingle_sets(docs.join(maybe.select("node").distinct(), "node", "left_semi"), words).dropDuplicates(["node"])
 
-        for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("pair", "node", "group")]
-            for i, (pair, node, group) in enumerate(zip(*cols, strict=True)):
-                if pair != now:
-                    if held:
-                        yield links()
-                    now, nodes, groups, held = pair, [], [], []
-                nodes.append(node)
-                groups.append(group)
-                held.append(batch["s"][i].values.to_numpy().copy())
-        if held:
-            yield links()
+    def links(columns: list) -> pa.RecordBatch:
+        _, node, group, s = columns
+        found = _tile_links(np.array(node, np.int64), s, np.array(group, np.int64), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return map_arrow(placed, run, "a long, b long")
+    return _by_tile(maybe.join(sets, "node").select("pair", "node", "group", "s"), links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -397,9 +485,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     a crowded key, are in different groups and stay apart.
     """
     prefixes = materialize(_prefixes(docs, words, similarity).dropDuplicates(["node"]), "prefixes")
+    signatures = prefixes.select("node", "size", "sig")
     own = prefixes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    sizes = materialize(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = materialize(own.join(sizes, "key"), "shared")
+    sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(own.join(materialize(sizes, "sizes"), "key"), "shared")
     # How many others a node shares its keys with: greatest for the text that the others are copies of.
     central = materialize(shared.groupBy("node").agg(F.sum("n").alias("w")), "central")
 
@@ -416,32 +505,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     hubs = crowded.groupBy("key").agg(F.max(F.struct("w", "node")).alias("hub"))
     hub = crowded.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
     to_hub = hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    pairs = materialize(met.unionByName(to_hub).groupBy("a", "b").agg(F.count("*").alias("alike")), "pairs")
+    pairs = met.unionByName(to_hub).groupBy("a", "b").agg(F.count("*").alias("alike"))
+    pairs = materialize(_possible_pairs(pairs, signatures, similarity), "pairs")
     ends = F.explode(F.array("a", "b")).alias("node")
-    needed = pairs.select(ends).unionByName(crowded.select("node")).distinct()
-    sets = materialize(_shingle_sets(docs.join(needed, "node", "left_semi"), words).dropDuplicates(["node"]), "sets")
 
     def verified(some: DataFrame) -> DataFrame:
+        needed = some.select(ends).distinct()
+        sets = materialize(_shingle_sets(docs.join(needed, "node", "left_semi"), words).dropDuplicates(["node"]), "sets")
         a, b = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        joined = some.join(a, "a").join(b, "b").where((F.size("sa") > 0) & (F.size("sb") > 0))
-        return materialize(joined.where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+        joined = some.join(a, "a").join(b, "b").where(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
+        return materialize(joined.select("a", "b"), "links")
 
     # First each text with the one most like it; then only what would join groups that are apart still.
-    best = pairs.select("a", "b", "alike", ends).groupBy("node").agg(F.max_by(F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")), F.col("alike") * 1024 + F.pmod(F.xxhash64("a", "b"), F.lit(1024))).alias("other"))
-    tried = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).unionByName(to_hub).distinct(), "tried")
+    other = F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))
+    best = pairs.select("a", "b", "alike", ends).groupBy("node").agg(F.max_by(other, F.col("alike") * 1024 + F.pmod(F.xxhash64("a", "b"), F.lit(1024))).alias("other"))
+    tried = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
     found = verified(tried)
     groups = connected_components(found, "a", "b")
     of = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"group_{n}"))
     apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
     apart = materialize(apart.join(tried, ["a", "b"], "left_anti"), "apart")
-    found = found.unionByName(verified(apart))
+    if not apart.isEmpty():
+        found = found.unionByName(verified(apart))
+        groups = connected_components(found, "a", "b")
     members = crowded.select("key", "node", "size").join(groups, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
     several = members.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    members = materialize(members.join(several, "key", "left_semi"), "members")
-    if not members.isEmpty():
-        found = found.unionByName(materialize(_crowded_links(members, sets, similarity), "links"))
-    return connected_components(found, "a", "b")
+    members = materialize(members.join(several, "key", "left_semi").join(signatures.select("node", "sig"), "node"), "members")
+    if members.isEmpty():
+        return groups
+    more = materialize(_crowded_links(members, docs, words, similarity), "links")
+    return groups if more.isEmpty() else connected_components(found.unionByName(more), "a", "b")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
