@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.callables import batch_of, elements, expression, function, is_expression, run_partitions, schema_of
+from .functions.callables import Function, batch_of, elements, expression, function, is_expression, run_partitions, schema_of
 from .operators import folds, index, keyed, ordering, partitioning, sampling
 
 #: Cache levels: none, as the session's default, deserialised, serialised, disk.
@@ -152,13 +152,19 @@ class Dataset:
 
     # -- grouping and sets
 
+    def prepared(self, src) -> Dataset:
+        """The same elements, read in tasks that run ``src``'s set-up before and its tear-down after them; None leaves all as it is."""
+        return self if src is None else self._run(lambda items, _: items, self.df.schema, [function(src, 1)])
+
     def group_by(self, f, schema=None, partitions: int | None = None) -> PairDataset:
         return self.key_by(f, schema).group_by_key(partitions)
 
-    def distinct(self, partitions: int | None = None) -> Dataset:
-        return self._new(keyed.dealt(self.df, partitions, *self.df.columns).distinct())
+    def distinct(self, partitions: int | None = None, src=None) -> Dataset:
+        return self._new(keyed.dealt(self.prepared(src).df.distinct(), partitions, *self.df.columns))
 
-    def union(self, other: Dataset, preserve_order: bool = False) -> Dataset:
+    def union(self, other: Dataset, preserve_order: bool = False, src=None) -> Dataset:
+        if src is not None:
+            return self.prepared(src).union(other.prepared(src), preserve_order)
         return self._new(partitioning.union_ordered(self.df, other.df) if preserve_order else self.df.unionAll(other.df))
 
     # -- order
@@ -169,7 +175,7 @@ class Dataset:
     def sort_by(self, by, ascending: bool = True, partitions: int | None = None) -> Dataset:
         """By columns (one or a list), or by a Python less-than of two elements."""
         if callable(by) and not isinstance(by, Column):
-            return self._new(ordering.sort_by(self.df, by, ascending, partitions))
+            return self._new(ordering.sort_by(self.df, by, ascending, partitions, self.variables))
         by = by if isinstance(by, (list, tuple)) else [by]
         return self._new(ordering.sort(self.df, [expression(b) for b in by], ascending, partitions))
 
@@ -181,7 +187,7 @@ class Dataset:
 
     def _extreme(self, n: int, by, largest: bool) -> list:
         if callable(by) and not isinstance(by, Column):
-            return ordering.top_by(self.df, n, by, largest)
+            return ordering.top_by(self.df, n, by, largest, self.variables)
         return self._new(self.top_frame(n, by, largest)).collect()
 
     def top_frame(self, n: int, by=None, largest: bool = True) -> DataFrame:
@@ -221,7 +227,7 @@ class Dataset:
             f = _AGGREGATES[f](self.df.columns[0])
         if isinstance(f, Column):
             return self.df.agg(f).first()[0]
-        return folds.fold(self.df, f, *rest, **options)
+        return folds.fold(self.df, f, *rest, **options, variables=self.variables)
 
     def reduce(self, f):
         """An aggregate by name or Column, or an associative callable, folded in partition order; an empty dataset is an error."""
@@ -232,16 +238,16 @@ class Dataset:
 
     def aggregate(self, zero, seq, comb):
         """``zero`` must be neutral: each partition starts from a copy of it."""
-        return folds.fold(self.df, seq, comb, zero, True)
+        return folds.fold(self.df, seq, comb, zero, True, variables=self.variables)
 
     def tree_aggregate(self, zero, seq, comb):
-        return folds.fold(self.df, seq, comb, zero, True, True)
+        return folds.fold(self.df, seq, comb, zero, True, True, variables=self.variables)
 
     def fold(self, zero, f):
-        return folds.fold(self.df, f, None, zero, True)
+        return folds.fold(self.df, f, None, zero, True, variables=self.variables)
 
     def tree_fold(self, zero, f):
-        return folds.fold(self.df, f, None, zero, True, True)
+        return folds.fold(self.df, f, None, zero, True, True, variables=self.variables)
 
     def foreach(self, f) -> None:
         g = function(f, 1)
@@ -346,6 +352,22 @@ class Dataset:
         save(self, path, compression, overwrite)
 
 
+class _OfKeys(Function):
+    """A comparator of keys as one of pairs."""
+
+    def __init__(self, less: Function):
+        self.less = less
+
+    def before(self, context) -> None:
+        self.less.before(context)
+
+    def call(self, a, b):
+        return self.less.call(a[0], b[0])
+
+    def after(self, context) -> None:
+        self.less.after(context)
+
+
 class PairDataset(Dataset):
     def __init__(self, df: DataFrame, session=None, variables: dict | None = None):
         if df.columns != ["key", "value"]:
@@ -379,46 +401,54 @@ class PairDataset(Dataset):
     def values_dataset(self) -> Dataset:
         return self._new(self.df.select("value"))
 
-    def group_by_key(self, partitions: int | None = None) -> PairDataset:
-        return self._new(keyed.group_values(self.df, partitions))
+    def group_by_key(self, partitions: int | None = None, src=None) -> PairDataset:
+        return self._new(keyed.group_values(self.prepared(src).df, partitions))
 
     def reduce_by_key(self, f, schema=None, partitions: int | None = None, local: bool = True) -> PairDataset:
         """An aggregate of ``value`` by name or Column, or an associative callable."""
         if isinstance(f, str):
             f = _AGGREGATES[f]("value")
         if isinstance(f, Column):
-            return self._new(keyed.dealt(self.df, partitions, "key").groupBy("key").agg(f.alias("value")))
-        return self._new(keyed.reduce_by_key(self.df, f, schema, partitions, local))
+            return self._new(keyed.dealt(self.df.groupBy("key").agg(f.alias("value")), partitions, "key"))
+        return self._new(keyed.reduce_by_key(self.df, f, schema, partitions, local, self.variables))
 
     def aggregate_by_key(self, zero, seq=None, comb=None, schema=None, partitions: int | None = None) -> PairDataset:
         """Aggregate Columns (one, or several as a struct) in place of ``zero``, or Python functions from a zero that each key copies."""
         if isinstance(zero, Column):
             return self.reduce_by_key(zero, partitions=partitions)
-        return self._new(keyed.aggregate_by_key(self.df, zero, seq, comb, schema, partitions))
+        return self._new(keyed.aggregate_by_key(self.df, zero, seq, comb, schema, partitions, self.variables))
 
     def fold_by_key(self, zero, f, schema=None, partitions: int | None = None, local: bool = True) -> PairDataset:
         schema = schema or self.df.schema["value"].dataType
-        return self._new(keyed.aggregate_by_key(self.df, zero, f, f if local else None, schema, partitions))
+        return self._new(keyed.aggregate_by_key(self.df, zero, f, f if local else None, schema, partitions, self.variables))
 
-    def join(self, other: PairDataset, partitions: int | None = None, how: str = "inner", null_safe: bool = True) -> PairDataset:
+    def join(self, other: PairDataset, partitions: int | None = None, how: str = "inner", null_safe: bool = True, src=None) -> PairDataset:
         """(key, (left, right)) for each pair of rows of one key; null keys meet."""
-        got = keyed.join_pairs(self.df, other.df, partitions, how, null_safe)
+        got = keyed.join_pairs(self.prepared(src).df, other.prepared(src).df, partitions, how, null_safe)
         if "left" not in got.columns:
             return self._new(got)
         return self._new(got.select("key", F.struct("left", "right").alias("value")))
 
     def sort_by_key(self, ascending: bool = True, partitions: int | None = None, less: Callable | None = None) -> PairDataset:
         if less is not None:
-            f = function(less, 2)
-            return self._new(ordering.sort_by(self.df, lambda a, b: f.call(a[0], b[0]), ascending, partitions))
+            return self._new(ordering.sort_by(self.df, _OfKeys(function(less, 2)), ascending, partitions, self.variables))
         return self._new(ordering.sort(self.df, ["key"], ascending, partitions))
 
+    def key_counts(self) -> PairDataset:
+        """(key, number of its rows), lazily and for any number of keys."""
+        return self._new(self.df.groupBy("key").agg(F.count("*").alias("value")))
+
+    def value_counts(self) -> PairDataset:
+        """(value, number of its rows) as pairs."""
+        return self._new(self.df.groupBy(F.col("value").alias("key")).agg(F.count("*").alias("value")))
+
     def count_by_key(self) -> dict:
-        return {r["key"]: r["n"] for r in self.df.groupBy("key").agg(F.count("*").alias("n")).collect()}
+        """A dictionary on the driver, which must have room for all keys; see ``key_counts``. Arrays and structs are tuples in it."""
+        return {keyed.hashable(k): n for k, n in self.key_counts().collect()}
 
     def count_by_value(self) -> dict:
-        """Counts of the value part."""
-        return {r["value"]: r["n"] for r in self.df.groupBy("value").agg(F.count("*").alias("n")).collect()}
+        """As ``count_by_key``, of the value part; see ``value_counts``."""
+        return {keyed.hashable(v): n for v, n in self.value_counts().collect()}
 
     def sample_by_key(self, fractions: dict, seed: int = 0, replacement: bool = False, order=None) -> PairDataset:
         return self._new(sampling.sample_by_key(self.df, fractions, seed, expression(order) if order is not None else None, "key", replacement))

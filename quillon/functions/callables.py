@@ -7,10 +7,11 @@ import pickle
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,14 @@ class Context:
         task = TaskContext.get()
         return task.partitionId() if task else 0
 
+    def barrier(self) -> None:
+        """Wait for all tasks of the stage; in ``execute`` and other barrier stages only."""
+        BarrierTaskContext.get().barrier()
+
+    def all_gather(self, message: str = "") -> list[str]:
+        """Each task's message, by task; in barrier stages only."""
+        return BarrierTaskContext.get().allGather(message)
+
 
 class Function:
     """A function with set-up and tear-down, each called once a task."""
@@ -58,9 +67,21 @@ class _Plain(Function):
         return self.f(*args, self.context) if self.wants_context else self.f(*args)
 
 
+@contextmanager
+def running(f: Function, variables: dict | None = None):
+    """The life cycle around calls that the driver makes itself."""
+    context = Context(variables)
+    f.before(context)
+    try:
+        yield f
+    finally:
+        f.after(context)
+
+
 def function(f, arity: int) -> Function:
-    """A Function as it is; a plain one with one parameter more than ``arity`` gets the context as its last."""
-    return f if isinstance(f, Function) else _Plain(f, arity)
+    """A Function, or what has its three methods, as it is; a plain one with one parameter more than ``arity`` gets the context as its last."""
+    whole = isinstance(f, Function) or all(callable(getattr(f, n, None)) for n in ("before", "call", "after"))
+    return f if whole else _Plain(f, arity)
 
 
 def is_expression(f) -> bool:
@@ -107,7 +128,10 @@ _shipped: set[str] = set()
 
 
 def ship(df: DataFrame) -> None:
-    """Make this package importable by the workers, once an application."""
+    """Make this package importable by the workers, once an application.
+
+    Only code lies in the driver's temporary folder; Spark sends it to the executors.
+    """
     context = df.sparkSession.sparkContext
     if context.applicationId in _shipped:
         return

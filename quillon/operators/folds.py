@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.callables import Function, function, pickled, run_partitions
+from ..functions.callables import Function, function, pickled, run_partitions, running
 
 FAN_IN = 8
 
@@ -31,25 +31,21 @@ def partials(df: DataFrame, step: Function, zero: Callable | None, variables: di
     return run_partitions(df, body, "pid int, acc binary", [step], variables)
 
 
-def combine(parts: DataFrame, step: Function, empty: str | None = "empty collection"):
+def combine(parts: DataFrame, step: Function, zero: Callable | None = None, variables: dict | None = None):
     """Fold of the partials on the driver, in partition order: one small value a partition."""
     accs = [pickle.loads(r["acc"]) for r in sorted(parts.collect(), key=lambda r: r["pid"])]
     if not accs:
-        raise ValueError(empty)
-    from ..functions.callables import Context
-
-    context = Context()
-    step.before(context)
-    try:
+        if zero is None:
+            raise ValueError("empty collection")
+        return zero()
+    with running(step, variables):
         acc = accs[0]
         for x in accs[1:]:
             acc = step.call(acc, x)
-    finally:
-        step.after(context)
     return acc
 
 
-def tree(parts: DataFrame, step: Function, partitions: int) -> DataFrame:
+def tree(parts: DataFrame, step: Function, partitions: int, variables: dict | None = None) -> DataFrame:
     """Partials combined FAN_IN at a time by the executors until FAN_IN at most are left."""
     while partitions > FAN_IN:
         partitions = -(-partitions // FAN_IN)
@@ -63,17 +59,15 @@ def tree(parts: DataFrame, step: Function, partitions: int) -> DataFrame:
             if started:
                 yield context.partition, pickled(acc)
 
-        parts = run_partitions(near, body, "pid int, acc binary", [step])
+        parts = run_partitions(near, body, "pid int, acc binary", [step], variables)
     return parts
 
 
-def fold(df: DataFrame, f, g=None, zero=None, with_zero: bool = False, in_tree: bool = False):
+def fold(df: DataFrame, f, g=None, zero=None, with_zero: bool = False, in_tree: bool = False, variables: dict | None = None):
     """Reduce, fold or aggregate: ``f`` within partitions (from a copy of ``zero``), ``g`` (else ``f``) between them."""
     first, second = function(f, 2), function(g or f, 2)
     make = (lambda: copy.deepcopy(zero)) if with_zero else None
-    parts = partials(df, first, make)
+    parts = partials(df, first, make, variables)
     if in_tree:
-        parts = tree(parts, second, df.rdd.getNumPartitions())
-    if with_zero and not parts.head(1):
-        return make()
-    return combine(parts, second)
+        parts = tree(parts, second, df.rdd.getNumPartitions(), variables)
+    return combine(parts, second, make, variables)

@@ -5,26 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import computed_once
+
 _LOW = (1 << 33) - 1
 
 
-def with_index(df: DataFrame, name: str = "idx") -> DataFrame:
-    """``df`` with its 0-based position in partition order.
+def numbered(df: DataFrame, name: str = "idx") -> tuple[DataFrame, int]:
+    """``df`` with its 0-based position in partition order, and the number of rows.
 
-    One pass counts rows by partition (a row each, whose running sums are
-    broadcast), the second adds a row's number within its partition. The plan
-    must give the same rows in the same partitions both times: sort or persist
-    inputs that do not.
+    The rows are computed once, with their partition and their number in it,
+    into a reliable checkpoint: a plan that is run twice may deal its rows out
+    otherwise (ranges are sampled, partitions are merged by size). Then rows
+    are counted by partition (a row each comes to the driver) and the running
+    sums are broadcast, so the order stays and nothing is shuffled.
     """
     pid, number = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW))
-    counts = df.select(pid.alias("__pid")).groupBy("__pid").count().collect()
+    tagged = computed_once(df.withColumns({"__pid": pid, "__number": number}))
+    counts = tagged.groupBy("__pid").agg(F.count("*").alias("n")).collect()
     offsets, total = [], 0
     for r in sorted(counts, key=lambda r: r["__pid"]):
         offsets.append((r["__pid"], total))
-        total += r["count"]
+        total += r["n"]
     small = df.sparkSession.createDataFrame(offsets, "__pid int, __offset long")
-    tagged = df.withColumns({"__pid": pid, "__number": number})
-    return tagged.join(F.broadcast(small), "__pid").withColumn(name, F.col("__offset") + F.col("__number")).drop("__pid", "__number", "__offset")
+    got = tagged.join(F.broadcast(small), "__pid").withColumn(name, F.col("__offset") + F.col("__number"))
+    return got.drop("__pid", "__number", "__offset"), total
+
+
+def with_index(df: DataFrame, name: str = "idx") -> DataFrame:
+    return numbered(df, name)[0]
 
 
 def partition_counts(df: DataFrame) -> DataFrame:

@@ -15,6 +15,26 @@ from ..functions.callables import function, pickled, run_partitions, schema_of
 HELD = 100_000
 
 
+def handle(key):
+    """A key as Spark groups it, hashable: NaN equals NaN, arrays, structs and maps are compared by what they hold."""
+    if isinstance(key, float):
+        return ("nan",) if key != key else key
+    if isinstance(key, dict):
+        return ("map", frozenset((handle(k), handle(v)) for k, v in key.items()))
+    if isinstance(key, (list, tuple)):
+        return ("row", *map(handle, key))
+    if isinstance(key, bytearray):
+        return bytes(key)
+    return key
+
+
+def hashable(key):
+    """A key for a dictionary: arrays and structs as tuples, maps as tuples of their pairs."""
+    if isinstance(key, dict):
+        return tuple(sorted(((hashable(k), hashable(v)) for k, v in key.items()), key=repr))
+    return tuple(map(hashable, key)) if isinstance(key, (list, tuple)) else key
+
+
 def dealt(df: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
     return df.repartition(partitions, *columns) if partitions else df
 
@@ -25,7 +45,7 @@ def group_values(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt(df, partitions, "key").groupBy("key").agg(F.transform(wrapped, lambda x: x["value"]).alias("value"))
 
 
-def combine_by_key(df: DataFrame, start, step, merge, schema, partitions: int | None = None, local: bool = True, functions=()) -> DataFrame:
+def combine_by_key(df: DataFrame, start, step, merge, schema, partitions: int | None = None, local: bool = True, functions=(), variables: dict | None = None) -> DataFrame:
     """Python aggregation by key: combined within tasks first if ``local``, then in sorted runs, so no task holds all keys.
 
     ``start(value)`` begins an accumulator, ``step(acc, value)`` adds a value, ``merge(acc, acc)`` joins two.
@@ -38,57 +58,60 @@ def combine_by_key(df: DataFrame, start, step, merge, schema, partitions: int |
     def before(items, context):
         held: dict = {}
         for k, v in items:
-            if k in held:
-                held[k] = step(held[k], v)
+            h = handle(k)
+            if h in held:
+                held[h][1] = step(held[h][1], v)
             else:
                 if len(held) >= HELD:
-                    yield from ((a, pickled(b)) for a, b in held.items())
+                    yield from ((a, pickled(b)) for a, b in held.values())
                     held.clear()
-                held[k] = start(v)
-        yield from ((a, pickled(b)) for a, b in held.items())
+                held[h] = [k, start(v)]
+        yield from ((a, pickled(b)) for a, b in held.values())
 
     def after(items, context):
-        now, acc, some = None, None, False
+        now = key = acc = None
+        some = False
         for k, v in items:
-            x = pickle.loads(v) if local else v
-            if some and k == now:
+            x, h = pickle.loads(v) if local else v, handle(k)
+            if some and h == now:
                 acc = merge(acc, x) if local else step(acc, x)
             else:
                 if some:
-                    yield now, acc
-                now, some = k, True
+                    yield key, acc
+                now, key, some = h, k, True
                 acc = x if local else start(x)
         if some:
-            yield now, acc
+            yield key, acc
 
-    parts = run_partitions(df.select("key", "value"), before, between, functions) if local else df.select("key", "value")
+    parts = run_partitions(df.select("key", "value"), before, between, functions, variables) if local else df.select("key", "value")
     spread = parts.repartition(partitions, "key") if partitions else parts.repartition("key")
-    return run_partitions(spread.sortWithinPartitions("key"), after, out, functions)
+    return run_partitions(spread.sortWithinPartitions("key"), after, out, functions, variables)
 
 
-def reduce_by_key(df: DataFrame, f, schema=None, partitions: int | None = None, local: bool = True) -> DataFrame:
+def reduce_by_key(df: DataFrame, f, schema=None, partitions: int | None = None, local: bool = True, variables: dict | None = None) -> DataFrame:
     g = function(f, 2)
-    return combine_by_key(df, lambda v: v, g.call, g.call, schema or df.schema["value"].dataType, partitions, local, [g])
+    return combine_by_key(df, lambda v: v, g.call, g.call, schema or df.schema["value"].dataType, partitions, local, [g], variables)
 
 
-def aggregate_by_key(df: DataFrame, zero, seq, comb, schema, partitions: int | None = None) -> DataFrame:
+def aggregate_by_key(df: DataFrame, zero, seq, comb, schema, partitions: int | None = None, variables: dict | None = None) -> DataFrame:
     """Each key has a copy of ``zero`` of its own; without ``comb`` values are shuffled before they are folded."""
     s = function(seq, 2)
     c = function(comb, 2) if comb else None
     start = lambda v: s.call(copy.deepcopy(zero), v)
-    return combine_by_key(df, start, s.call, c.call if c else None, schema, partitions, c is not None, [x for x in (s, c) if x])
+    return combine_by_key(df, start, s.call, c.call if c else None, schema, partitions, c is not None, [x for x in (s, c) if x], variables)
 
 
 def join_pairs(left: DataFrame, right: DataFrame, partitions: int | None = None, how: str = "inner", null_safe: bool = True) -> DataFrame:
     """(key, left, right) for each pair of rows of one key; null keys meet unless ``null_safe`` is off.
 
     Spark picks the strategy: a side is broadcast only under the session's size
-    threshold, and skewed keys of a sort-merge join are split by AQE.
+    threshold, and skewed keys of a sort-merge join are split by AQE. A number of
+    partitions places the result, so that it does not stand in AQE's way.
     """
-    l = dealt(left.select("key", F.col("value").alias("left")), partitions, "key")
-    r = dealt(right.select(F.col("key").alias("__key"), F.col("value").alias("right")), partitions, "__key")
+    l = left.select("key", F.col("value").alias("left"))
+    r = right.select(F.col("key").alias("__key"), F.col("value").alias("right"))
     match = F.col("key").eqNullSafe(F.col("__key")) if null_safe else F.col("key") == F.col("__key")
     joined = l.join(r, match, how)
     if how in ("left_semi", "left_anti"):
-        return joined.withColumnRenamed("left", "value")
-    return joined.select(F.coalesce("key", "__key").alias("key"), "left", "right")
+        return dealt(joined.withColumnRenamed("left", "value"), partitions, "key")
+    return dealt(joined.select(F.coalesce("key", "__key").alias("key"), "left", "right"), partitions, "key")

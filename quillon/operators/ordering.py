@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.callables import elements, function, run_partitions
+from ..functions.callables import elements, function, run_partitions, running
 from .sampling import tagged_sample
 
 
@@ -40,12 +40,13 @@ def _ordered(less, ascending: bool):
     return f, partial(_Place, f, ascending)
 
 
-def sort_by(df: DataFrame, less, ascending: bool = True, partitions: int | None = None) -> DataFrame:
+def sort_by(df: DataFrame, less, ascending: bool = True, partitions: int | None = None, variables: dict | None = None) -> DataFrame:
     """Order by a Python less-than: pivots from a bounded sample deal ranges out, and each is sorted in its task."""
     n = partitions or df.rdd.getNumPartitions()
     f, key = _ordered(less, ascending)
     picked = [pickle.loads(r[0]) for r in tagged_sample(df, 64 * n).collect()]
-    picked.sort(key=key)
+    with running(f, variables):
+        picked.sort(key=key)
     pivots = [picked[len(picked) * i // n] for i in range(1, n)] if picked else []
     dealt = T.StructType([T.StructField("to", T.IntegerType()), T.StructField("x", T.BinaryType())])
 
@@ -57,8 +58,8 @@ def sort_by(df: DataFrame, less, ascending: bool = True, partitions: int | None
     def order(items, context):
         yield from sorted((pickle.loads(r[1]) for r in items), key=key)
 
-    spread = run_partitions(df, deal, dealt, [f]).repartitionById(n, F.col("to"))
-    return run_partitions(spread, order, df.schema, [f])
+    spread = run_partitions(df, deal, dealt, [f], variables).repartitionById(n, F.col("to"))
+    return run_partitions(spread, order, df.schema, [f], variables)
 
 
 def top(df: DataFrame, n: int, columns: list, largest: bool = True) -> DataFrame:
@@ -67,13 +68,14 @@ def top(df: DataFrame, n: int, columns: list, largest: bool = True) -> DataFrame
     return df.orderBy(*[c.desc() if largest else c.asc() for c in by]).limit(n)
 
 
-def top_by(df: DataFrame, n: int, less, largest: bool = True) -> list:
+def top_by(df: DataFrame, n: int, less, largest: bool = True, variables: dict | None = None) -> list:
     """By a Python less-than; ``n`` elements a partition come to the driver."""
     f, key = _ordered(less, not largest)
 
     def best(items, context):
         yield from nsmallest(n, items, key=key)
 
-    rows = run_partitions(df, best, df.schema, [f]).toArrow()
+    rows = run_partitions(df, best, df.schema, [f], variables).toArrow()
     found = [x for b in rows.to_batches() for x in elements(b)]
-    return nsmallest(n, found, key=key)
+    with running(f, variables):
+        return nsmallest(n, found, key=key)

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .index import with_index
+from .index import numbered
+
+
+def _dealt(indexed: DataFrame, total: int, n: int) -> DataFrame:
+    """``n`` partitions, equal give or take one row, by the dense column ``__idx``."""
+    to = F.expr(f"cast(__idx * {n} div {max(total, 1)} as int)")
+    return indexed.withColumn("__to", to).repartitionById(n, F.col("__to")).sortWithinPartitions("__idx").drop("__idx", "__to")
 
 
 def repartition_ordered(df: DataFrame, n: int) -> DataFrame:
     """``n`` partitions of equal size (give or take one) in the order that rows had."""
-    total = df.count()
-    to = F.floor(F.col("__idx") * n / F.lit(max(total, 1))).cast("int")
-    placed = with_index(df, "__idx").withColumn("__to", to)
-    return placed.repartitionById(n, F.col("__to")).sortWithinPartitions("__idx").drop("__idx", "__to")
+    indexed, total = numbered(df, "__idx")
+    return _dealt(indexed, total, n)
 
 
 def repartition(df: DataFrame, n: int, ordered: bool = False, everywhere: bool = True) -> DataFrame:
-    """Ordered; else balanced; else (``everywhere`` off) without moving rows between executors."""
-    if not everywhere:
+    """Ordered; else balanced; else (``everywhere`` off) without moving rows between executors.
+
+    Spark cannot cut a partition in place: to have more partitions than there
+    are, rows move.
+    """
+    if not everywhere and n <= df.rdd.getNumPartitions():
         return df.coalesce(n)
     return repartition_ordered(df, n) if ordered else df.repartition(n)
 
@@ -37,9 +45,10 @@ def by_number(df: DataFrame, n: int, number) -> DataFrame:
 
 
 def union_ordered(a: DataFrame, b: DataFrame) -> DataFrame:
-    """All rows of ``a`` and then all of ``b``, in their orders."""
-    sides = [with_index(x, "__idx").withColumn("__side", F.lit(i)) for i, x in enumerate((a, b))]
-    return sides[0].unionByName(sides[1]).orderBy("__side", "__idx").drop("__side", "__idx")
+    """All rows of ``a`` and then all of ``b``, in their orders, in as many partitions as both had."""
+    n = a.rdd.getNumPartitions() + b.rdd.getNumPartitions()
+    (x, n_x), (y, n_y) = numbered(a, "__idx"), numbered(b.toDF(*a.columns), "__idx")
+    return _dealt(x.unionByName(y.withColumn("__idx", F.col("__idx") + n_x)), n_x + n_y, n)
 
 
 def approx_size(df: DataFrame) -> int:

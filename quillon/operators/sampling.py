@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.callables import run_partitions
+from ..shared import computed_once
 from .index import with_index
 
 #: Samples of this many rows at most are a bounded sort on each task; places of this many rows at most come to the driver.
 FEW = 10_000
+#: Draws that are made from one row.
+CHUNK = 100_000
 #: Hexadecimal digits by which places are counted at a time, and all they have.
 DIGITS, ALL_DIGITS = 3, 32
 
@@ -84,26 +87,52 @@ def least(placed: DataFrame, wanted: Callable) -> DataFrame:
     return out
 
 
+def placed_by(df: DataFrame, seed: int, key: Column | None, **more: Column) -> DataFrame:
+    """``df`` with its random places; where these come from rand() they are computed once, as they are counted before they are met."""
+    placed = df.withColumns({"__place": order_of(seed, key), **more})
+    return computed_once(placed) if key is None else placed
+
+
 def sample(df: DataFrame, fraction: float, seed: int = 0, key: Column | None = None, replacement: bool = False) -> DataFrame:
     """Exactly floor(n * fraction) rows, those of the least random places."""
     if replacement:
-        n = df.count()
-        return take_sample(df, int(n * fraction), seed, key, True, n)
-    placed = df.withColumns({"__place": order_of(seed, key), "__group": F.lit(0)})
+        return drawn(df, lambda _, n: int(n * fraction), seed)
+    placed = placed_by(df, seed, key, __group=F.lit(0))
     return least(placed, lambda _, n: int(n * fraction)).drop("__place", "__group")
 
 
-def take_sample(df: DataFrame, num: int, seed: int = 0, key: Column | None = None, replacement: bool = False, n: int | None = None) -> DataFrame:
+def take_sample(df: DataFrame, num: int, seed: int = 0, key: Column | None = None, replacement: bool = False) -> DataFrame:
     if replacement:
-        n = df.count() if n is None else n
-        if n == 0 or num == 0:
-            return df.limit(0)
-        draws = df.sparkSession.range(num).select(F.least(F.floor(F.rand(seed) * n), F.lit(n - 1)).cast("long").alias("__draw"))
-        return with_index(df, "__idx").join(draws, F.col("__idx") == F.col("__draw")).drop("__idx", "__draw")
-    placed = df.withColumn("__place", order_of(seed, key))
+        return drawn(df, lambda _, n: num if n else 0, seed)
     if num <= FEW:
-        return placed.orderBy("__place").limit(num).drop("__place")
-    return least(placed.withColumn("__group", F.lit(0)), lambda _, n: min(n, num)).drop("__place", "__group")
+        return df.withColumn("__place", order_of(seed, key)).orderBy("__place").limit(num).drop("__place")
+    return least(placed_by(df, seed, key, __group=F.lit(0)), lambda _, n: min(n, num)).drop("__place", "__group")
+
+
+def drawn(df: DataFrame, wanted: Callable, seed: int, key: str | None = None) -> DataFrame:
+    """``wanted(key, n)`` draws with replacement from the n rows of each key (of all rows without one).
+
+    Rows are put in order of the key and numbered, so a key's rows are a range
+    of numbers and one join meets the draws of all keys. The driver gets a row
+    a key.
+    """
+    group = F.col(key) if key else F.lit(0)
+    rows = df.withColumns({"__group": group, "__row": F.monotonically_increasing_id()})
+    indexed = with_index((rows.orderBy("__group", "__row") if key else rows).drop("__row"), "__idx")
+    ranges = indexed.groupBy("__group").agg(F.min("__idx").alias("first"), F.count("*").alias("n")).collect()
+    some = [(first, n, take) for g, first, n in ranges if (take := wanted(g, n)) > 0]
+    if not some:
+        return df.limit(0)
+    small = df.sparkSession.createDataFrame(some, "first long, n long, take long")
+    # Draws are numbered in two steps, so that no row holds an array of them all and many tasks make them.
+    chunks = small.select("*", F.explode(F.expr(f"sequence(0L, (take - 1) div {CHUNK})")).alias("chunk")).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    numbers = F.expr(f"sequence(chunk * {CHUNK}L, least(take, (chunk + 1) * {CHUNK}L) - 1)")
+    draws = chunks.select("first", "n", F.explode(numbers).alias("draw"))
+    # A hash of range and draw, not rand(): the same in any engine and on any run.
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "first", "draw").cast("binary")), 1, 12)
+    share = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 48))
+    draws = draws.select((F.col("first") + F.least(F.floor(share * F.col("n")), F.col("n") - 1)).alias("__draw"))
+    return indexed.join(draws, F.col("__idx") == F.col("__draw")).drop("__idx", "__draw", "__group")
 
 
 def sample_by_key(df: DataFrame, fractions: dict, seed: int = 0, order: Column | None = None, key: str = "key", replacement: bool = False) -> DataFrame:
@@ -116,18 +145,12 @@ def sample_by_key(df: DataFrame, fractions: dict, seed: int = 0, order: Column |
         given = given | F.col(key).eqNullSafe(F.lit(k))
     kept = df.where(given)
     if replacement:
-        counts = {r[key]: r["count"] for r in kept.groupBy(key).count().collect()}
-        parts = [take_sample(kept.where(F.col(key).eqNullSafe(F.lit(k))), wanted(k, n), seed + i, None, True) for i, (k, n) in enumerate(sorted(counts.items(), key=str))]
-        out = parts[0] if parts else kept.limit(0)
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    placed = kept.withColumns({"__place": order_of(seed, order), "__group": F.col(key)})
-    return least(placed, wanted).drop("__place", "__group")
+        return drawn(kept, wanted, seed, key)
+    return least(placed_by(kept, seed, order, __group=F.col(key)), wanted).drop("__place", "__group")
 
 
 def tagged_sample(df: DataFrame, num: int) -> DataFrame:
-    """About ``num`` elements, pickled, for pivots."""
+    """About ``num`` elements, pickled, for pivots, which need not be exact."""
     n = df.count()
     some = df.sample(min(1.0, 1.2 * num / n), seed=1) if n > num else df
     return run_partitions(some, lambda items, context: (pickle.dumps(x) for x in items), "x binary")

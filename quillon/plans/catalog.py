@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..functions import variants
 from ..functions.callables import Function
 from ..functions.registry import register
 from ..session import Session
+from ..shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,8 +46,7 @@ def one_row(spark: SparkSession, schema: str, *values) -> DataFrame:
 
 def folder(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-io-")
-    return f"{top.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return new_folder(spark, "io")
 
 
 MONEY = "cast({} as decimal(18,2))"
@@ -111,6 +110,12 @@ def map_with_index(spark, d):
     return table(spark, d, "orders", "o_orderkey").sort().map_with_index(["idx", "o_orderkey"]).df
 
 
+@query("select row_number() over (order by l_orderkey, l_linenumber) - 1 as idx, l_orderkey, l_linenumber from lineitem")
+def map_with_index_large(spark, d):
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    return rows.sort(partitions=64).map_with_index(["idx", "l_orderkey", "l_linenumber"]).df
+
+
 @query("select row_number() over (order by c_custkey) - 1 + c_custkey as value from customer")
 def map_with_index_callable(spark, d):
     return table(spark, d, "customer", "c_custkey").sort().map_with_index(lambda i, k: i + k, "long").df
@@ -286,6 +291,16 @@ def count_by_key(spark, d):
     return spark.createDataFrame(sorted(found.items()), "key string, n long")
 
 
+@query("select o_custkey as key, count(*) as value from orders group by 1")
+def key_counts(spark, d):
+    return pairs(spark, d, "orders", "o_custkey", "o_orderkey").key_counts().df
+
+
+@query("select event_type as key, count(*) as value from events group by 1")
+def value_counts(spark, d):
+    return pairs(spark, d, "events", "user_id", "event_type").value_counts().df
+
+
 @query("select event_type as value, count(*) as n from events group by 1")
 def count_by_value(spark, d):
     found = pairs(spark, d, "events", "user_id", "event_type").count_by_value()
@@ -334,6 +349,39 @@ def aggregate_by_key_callable(spark, d):
     return got.map_values("value[0] * 1000 + value[1]").df
 
 
+@query("select o_orderstatus as s, o_orderpriority as p, sum(o_orderkey)::bigint as value from orders group by 1, 2")
+def reduce_by_key_array_keys(spark, d):
+    got = pairs(spark, d, "orders", "array(o_orderstatus, o_orderpriority)", "o_orderkey").reduce_by_key(_plus)
+    return got.map(["key[0] as s", "key[1] as p", "value"]).df
+
+
+@query("select o_orderstatus as s, o_orderpriority as p, count(*) as value from orders group by 1, 2")
+def aggregate_by_key_struct_keys(spark, d):
+    rows = pairs(spark, d, "orders", "struct(o_orderstatus as s, o_orderpriority as p)", "o_orderkey")
+    return rows.aggregate_by_key(0, lambda n, _: n + 1, _plus, "long").map(["key.s", "key.p", "value"]).df
+
+
+@query("select case when o_orderkey % 5 = 0 then -1 else o_custkey % 3 end::double as key, sum(o_orderkey)::bigint as value from orders group by 1")
+def fold_by_key_nan_keys(spark, d):
+    rows = pairs(spark, d, "orders", "case when o_orderkey % 5 = 0 then double('NaN') else double(o_custkey % 3) end", "o_orderkey")
+    return rows.fold_by_key(0, _plus).map(["nanvl(key, -1D) as key", "value"]).df
+
+
+def _plus_mod(a, b, context):
+    return (a + b) % context.variables["by"]
+
+
+@query("select sum(o_orderkey)::bigint % 1000003 as value from orders")
+def reduce_with_variables(spark, d):
+    return one_row(spark, "value long", table(spark, d, "orders", "o_orderkey").repartition(5).with_variables(by=1000003).reduce(_plus_mod))
+
+
+@query("select o_custkey as key, sum(o_orderkey)::bigint % 1009 as value from orders group by 1 having count(*) > 1")
+def reduce_by_key_with_variables(spark, d):
+    many = table(spark, d, "orders", "o_custkey", "o_orderkey").with_variables(by=1009).to_pair()
+    return many.join(many.key_counts().filter("value > 1")).map_values("value.left").reduce_by_key(_plus_mod).df
+
+
 @query("select l_returnflag as key, sum(l_linenumber)::bigint as value from lineitem group by 1")
 def fold_by_key(spark, d):
     return pairs(spark, d, "lineitem", "l_returnflag", "cast(l_linenumber as long)").fold_by_key(0, _plus).df
@@ -428,9 +476,32 @@ def sample_exact(spark, d):
     return table(spark, d, "orders", "o_orderkey").sample(0.1, 7, key="o_orderkey").df
 
 
-@query("select count(*) // 10 as n from orders")
+DRAW = "cast(least(floor(('0x' || substr(md5('7:' || cast({first} as varchar) || ':' || cast(i as varchar)), 1, 12))::bigint / 281474976710656.0 * n), n - 1) as bigint)"
+
+
+@query(f"""select o_orderkey as value from (select {DRAW.format(first=0)} as pos from (select count(*) as n from orders) c, range((select count(*) // 10 from orders)) t(i))
+join (select o_orderkey, row_number() over (order by o_orderkey) - 1 as idx from orders) on pos = idx""")
 def sample_replacement(spark, d):
-    return one_row(spark, "n long", table(spark, d, "orders", "o_orderkey").sort().sample(0.1, 7, replacement=True).count())
+    return table(spark, d, "orders", F.col("o_orderkey").alias("value")).sort().sample(0.1, 7, replacement=True).df
+
+
+@query(f"""select o_orderstatus as key, o_orderkey as value from (
+select first, first + {DRAW.format(first='first')} as pos from (
+  select o_orderstatus as g, count(*) as n, min(idx) as first, case o_orderstatus when 'F' then count(*) // 2 else count(*) // 5 end as take
+  from (select o_orderstatus, row_number() over (order by o_orderstatus, o_orderkey) - 1 as idx from orders) group by 1 having o_orderstatus in ('F', 'O')) k, lateral (select unnest(range(take)) as i))
+join (select o_orderkey, o_orderstatus, row_number() over (order by o_orderstatus, o_orderkey) - 1 as idx from orders where o_orderstatus in ('F', 'O')) on pos = idx""")
+def sample_by_key_replacement(spark, d):
+    rows = pairs(spark, d, "orders", "o_orderstatus", "o_orderkey").sort()
+    return rows.sample_by_key({"F": 0.5, "O": 0.2}, 7, replacement=True).df
+
+
+@query("select 1500 as fraction, 1500 as num, true as apart".replace("1500", "(select count(*) // 10 from orders)::bigint"))
+def sample_without_key(spark, d):
+    """Random places without a key over a shuffled input: counts are exact and rows differ."""
+    rows = table(spark, d, "orders", "o_orderkey").repartition(7)
+    n = rows.count() // 10
+    some, more = rows.sample(0.1, 3).collect(), rows.take_sample(n, 4)
+    return one_row(spark, "fraction long, num long, apart boolean", len(some), len(more), len(set(some)) == len(some) and len(set(more)) == len(more))
 
 
 @query(f"select o_orderkey from (select o_orderkey, {MD5_RANK.format('')} as rn from orders) where rn <= 25")
@@ -448,13 +519,13 @@ def sample_by_key_exact(spark, d):
 
 
 @query("select cast(('0x' || substr(md5(cast(o_custkey as varchar)), 1, 8))::bigint % 8 as int) as partition, count(*) as n from orders group by 1")
-def partition_by_hash(spark, d):
+def partition_by_expression(spark, d):
     number = "cast(conv(substr(md5(cast(o_custkey as string)), 1, 8), 16, 10) as bigint)"
     return table(spark, d, "orders", "o_custkey").partition_by(number, 8).map_partitions_with_index(lambda p, rows: [(p, sum(1 for _ in rows))], "partition int, n long").filter("n > 0").df
 
 
 @query("select count(distinct o_custkey) as keys, count(distinct o_custkey) as places from orders")
-def partition_by_native_hash(spark, d):
+def partition_by_hash(spark, d):
     placed = table(spark, d, "orders", "o_custkey").partition_by_hash(8, "o_custkey").df
     seen = placed.select("o_custkey", F.spark_partition_id().alias("p")).distinct()
     return seen.agg(F.count_distinct("o_custkey").alias("keys"), F.count("*").alias("places"))
@@ -466,9 +537,23 @@ def partition_by_fn(spark, d):
     return spark.createDataFrame(sorted(placed.count_by_partition().items()), "partition int, n long")
 
 
-@query("select count(*) as n from orders")
+@query("select o_orderkey, true as near_even from orders")
 def partition_by_random(spark, d):
-    return one_row(spark, "n long", sum(table(spark, d, "orders", "o_orderkey").partition_by_random(6, 3).count_by_partition().values()))
+    placed = table(spark, d, "orders", "o_orderkey").partition_by_random(6, 3)
+    n = placed.count_by_partition()
+    even = len(n) == 6 and max(n.values()) < 1.5 * min(n.values())
+    return placed.df.withColumn("near_even", F.lit(even))
+
+
+@query("select 0 as parts, count(*) as n, max(c_custkey) as last from customer".replace("select 0", "select 3"))
+def repartition_local(spark, d):
+    rows = table(spark, d, "customer", "c_custkey").repartition(2).repartition(3, everywhere=False)
+    return one_row(spark, "parts int, n long, last long", rows.partitions(), rows.count(), rows.max())
+
+
+@query("select true as positive")
+def approx_size(spark, d):
+    return one_row(spark, "positive boolean", table(spark, d, "orders").approx_size() > 1000)
 
 
 @query("select cast((row_number() over (order by o_orderkey) - 1) * 7 // (select count(*) from orders) as int) as partition, o_orderkey from orders")
@@ -493,6 +578,34 @@ def text_roundtrip(spark, d):
     return Session.of(spark).text_file(path, 4).df
 
 
+@query("select row_number() over (order by p_partkey) - 1 as idx, cast(p_partkey as varchar) as value, true as split from part")
+def text_order_in_splits(spark, d):
+    """One file, read in several splits, keeps its order."""
+    path = folder(spark)
+    table(spark, d, "part", "p_partkey").sort(partitions=1).save_as_text_file(path)
+    lines = Session.of(spark).text_file(path, 4)
+    return lines.map_with_index(["idx", "value"]).df.withColumn("split", F.lit(lines.partitions() >= 4))
+
+
+@query("select count(*) as first, 2 * count(*) as appended, count(*) as overwritten from supplier")
+def overwrite_and_append(spark, d):
+    path, rows, lines = folder(spark), table(spark, d, "supplier", "s_name"), lambda: Session.of(spark).text_file(path).count()
+    rows.save_as_text_file(path)
+    seen = [lines()]
+    rows.save_as_text_file(path, append=True)
+    seen.append(lines())
+    rows.save_as_text_file(path, overwrite=True)
+    return one_row(spark, "first long, appended long, overwritten long", *seen, lines())
+
+
+@query("select 4 as parts, row_number() over (order by p_partkey) - 1 as idx, p_partkey as value from part")
+def partition_json_order(spark, d):
+    path = folder(spark)
+    table(spark, d, "part", "p_partkey").sort(partitions=4).save_as_json_file(path)
+    got = Session.of(spark).partition_json_file(path, "bigint")
+    return got.map_with_index([F.lit(got.partitions()).alias("parts"), "idx", "value"]).df
+
+
 @query("select row_number() over (order by p_partkey) - 1 as idx, cast(p_partkey as varchar) as value from part")
 def partition_text_order(spark, d):
     path = folder(spark)
@@ -552,9 +665,9 @@ def execute_to_sequence(spark, d):
     return Session.of(spark).execute_to(lambda p: range(p * 25, p * 25 + 25), 4, "long").df
 
 
-@query("select cast(count(*) as bigint) as n from customer")
+@query("select c_custkey, c_name from customer")
 def import_dataset(spark, d):
-    return one_row(spark, "n long", Session.of(spark).import_dataset(table(spark, d, "customer")).count())
+    return Session.of(spark).import_dataset(table(spark, d, "customer", "c_custkey", "c_name")).df
 
 
 # -- cache and functions
@@ -564,9 +677,7 @@ def import_dataset(spark, d):
 def cache_reuse(spark, d):
     rows = pairs(spark, d, "orders", "o_orderstatus", "1L").persist(RAW_MEMORY)
     rows.count()
-    rows.unpersist().persist(DISK)
-    rows.count()
-    rows.unpersist()
+    rows.unpersist().persist(DISK)  # the result reads the copy on disk
     return rows.reduce_by_key("sum").df
 
 
@@ -587,3 +698,72 @@ class _Shifted(Function):
 @query("select s_suppkey + 100 as value from supplier")
 def function_life_cycle(spark, d):
     return table(spark, d, "supplier", "s_suppkey").with_variables(by=100).map(_Shifted(), "long").df
+
+
+# -- actions for their effects
+
+
+@query("select count(*) as rows, sum(s_suppkey)::bigint as total, count(*) as in_partitions, count(*) as in_executors from supplier")
+def foreach_effects(spark, d):
+    """foreach, foreach_partition and foreach_executor, seen through accumulators."""
+    rows, zero = table(spark, d, "supplier", "s_suppkey").repartition(3), spark.sparkContext.accumulator
+    n, total, inside, held = zero(0), zero(0), zero(0), zero(0)
+
+    def each(x):
+        n.add(1)
+        total.add(x)
+
+    rows.foreach(each)
+    rows.foreach_partition(lambda items: inside.add(sum(1 for _ in items)))
+    rows.foreach_executor(lambda parts: held.add(sum(map(len, parts))))
+    return one_row(spark, "rows long, total long, in_partitions long, in_executors long", n.value, total.value, inside.value, held.value)
+
+
+@query("select 2 as tasks, 6 as gathered")
+def execute_gathers(spark, d):
+    """Two tasks at the same time, which meet at a barrier and tell each other their numbers."""
+    tasks, gathered = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def work(i, context):
+        context.barrier()
+        tasks.add(1)
+        gathered.add(sum(map(int, context.all_gather(str(i + 1)))))
+
+    Session.of(spark).execute(work, 2)
+    return one_row(spark, "tasks int, gathered int", tasks.value, gathered.value)
+
+
+@query("select s_name as value from supplier")
+def void_function_call(spark, d):
+    path = folder(spark)
+    register("write_names", lambda data, to: data.save_as_text_file(to))
+    Session.of(spark).void_call("write_names", table(spark, d, "supplier", "s_name"), to=path)
+    return Session.of(spark).text_file(path).df
+
+
+class _Counted(Function):
+    def __init__(self, seen):
+        self.seen = seen
+
+    def before(self, context):
+        self.seen.add(1)
+
+    def call(self, x):
+        return x
+
+
+@query("select c_nationkey as value, true as prepared from customer union all select s_nationkey, true from supplier")
+def union_prepared(spark, d):
+    """A set-up function runs in the tasks that read the two sides."""
+    seen = spark.sparkContext.accumulator(0)
+    a, b = (table(spark, d, t, F.col(c).alias("value")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
+    both = a.union(b, src=_Counted(seen))
+    both.count()
+    return both.df.withColumn("prepared", F.lit(seen.value >= 2))
+
+
+@query("select s_suppkey * 2 as value from supplier")
+def function_by_path(spark, d):
+    """A function named as path:Name in a Python file."""
+    session = Session.of(spark)
+    return table(spark, d, "supplier", "s_suppkey").map(session.load_function(f"{Path(__file__).with_name('sample_functions.py')}:Doubled"), "long").df

@@ -123,10 +123,10 @@ class Session:
 
     # -- sources, kept in their own modules
 
-    def parallelize(self, data, partitions: int | None = None, schema=None):
+    def parallelize(self, data, partitions: int | None = None, schema=None, src=None):
         from .sources.memory import parallelize
 
-        return parallelize(self, data, partitions, schema)
+        return parallelize(self, data, partitions, schema).prepared(src)
 
     def execute_to(self, function, partitions: int, schema):
         from .sources.memory import execute_to
@@ -180,6 +180,18 @@ class Session:
 
         return call(self, name, data, **params)
 
+    def load_function(self, where: str):
+        """The function or Function that ``path:Name`` names."""
+        from .functions.registry import load
+
+        return load(self, where)
+
+    def load_functions(self, path: str) -> list[str]:
+        """Register what a Python file lists in ``__all__`` for ``call`` and ``void_call``."""
+        from .functions.registry import load_functions
+
+        return load_functions(self, path)
+
     def void_call(self, name: str, data=None, **params) -> None:
         from .functions.registry import call
 

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions.callables import run_partitions
+from .text import by_file
 
 
 def partition_json_file(session, path: str, element: str = "variant") -> Dataset:
-    """Elements as ``element`` (DDL); as variants unless a type is given. Objects and scalars alike."""
-    whole = session.spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.col("_metadata.file_name").alias("n"), F.posexplode(F.from_json("value", f"array<{element}>")).alias("i", "value"))
-    return Dataset(parsed.orderBy("n", "i").select("value"), session)
+    """Elements as ``element`` (DDL); as variants unless a type is given. Objects and scalars alike.
+
+    A partition for each file, in the order of their names. A file is one array
+    and so one task's work, 2 GB at most.
+    """
+    whole = by_file(session.spark.read.text(path, wholetext=True), "value")
+    return Dataset(whole.select(F.explode(F.from_json("value", f"array<{element}>")).alias("value")), session)
 
 
 def save(data: Dataset, path: str, pretty: bool = True, overwrite: bool = False) -> None:

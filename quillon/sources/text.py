@@ -7,23 +7,46 @@ import re
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
+from ..operators.partitioning import repartition_ordered
+from ..shared import session_with
 
 
-def _at_least(df, n: int):
-    return df.repartition(n) if n > 1 and df.rdd.getNumPartitions() < n else df
+def _lines(session, path: str, min_partitions: int, delimiter: str = "\n"):
+    """Records, in so many splits of the files at least: smaller splits, so that nothing is shuffled and one file keeps its order."""
+    read = lambda spark: spark.read.option("lineSep", delimiter).text(path)
+    df = read(session.spark)
+    if min_partitions < 2 or df.rdd.getNumPartitions() >= min_partitions:
+        return df
+    n = min_partitions
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = max(1, -(-size // n))
+    return read(session_with(session.spark, {"spark.sql.files.maxPartitionBytes": f"{split}b", "spark.sql.files.openCostInBytes": "0b"}))
 
 
 def text_file(session, path: str, min_partitions: int = 1) -> Dataset:
-    """Lines split at ``\\n`` alone; any file system that Spark reads."""
-    reader = session.spark.read.option("lineSep", "\n")
-    return Dataset(_at_least(reader.text(path), min_partitions), session)
+    """Lines split at ``\\n`` alone; any file system that Spark reads. A file's lines keep their order, files come as Spark deals them out."""
+    return Dataset(_lines(session, path, min_partitions), session)
+
+
+def by_file(df, *columns):
+    """``df`` of a file reader with a partition for each file, in the order of the files' paths.
+
+    The driver gets the paths. Rows go where their file's number says, so
+    nothing is sampled or sorted over the whole.
+    """
+    spark, number = df.sparkSession, F.monotonically_increasing_id()
+    tagged = df.select(*columns, F.col("_metadata.file_path").alias("__path"), number.alias("__number"))
+    paths = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias("p")).distinct().collect())
+    if not paths:
+        return df.select(*columns)
+    small = spark.createDataFrame(list(enumerate(paths)), "__file int, __path string")
+    placed = tagged.join(F.broadcast(small), "__path").repartitionById(len(paths), F.col("__file"))
+    return placed.sortWithinPartitions("__number").select(*columns)
 
 
 def partition_text_file(session, path: str) -> Dataset:
-    """Part files of a folder, in the order of their names."""
-    df = session.spark.read.option("lineSep", "\n").text(path)
-    name, number = F.col("_metadata.file_name"), F.monotonically_increasing_id()
-    return Dataset(df.select("value", name.alias("n"), number.alias("i")).orderBy("n", "i").select("value"), session)
+    """Part files of a folder, in the order of their names, a partition for each (empty ones have none)."""
+    return Dataset(by_file(session.spark.read.option("lineSep", "\n").text(path), "value"), session)
 
 
 def parse_delimiter(text: str) -> tuple[str, list[str]]:
@@ -38,14 +61,15 @@ def plain_file(session, path: str, min_partitions: int = 1, delim: str = "\n") -
     """Records ended by a delimiter. With exceptions a file is one task's work, as its meaning depends on what stands before."""
     d, exceptions = parse_delimiter(delim)
     if not exceptions:
-        return Dataset(_at_least(session.spark.read.option("lineSep", d).text(path), min_partitions), session)
+        return Dataset(_lines(session, path, min_partitions, d), session)
     quote = lambda x: re.sub(r"([^\w\s])", r"\\\1", x)
     pattern = "".join(f"(?<!{quote(e)})" for e in exceptions) + quote(d)
     whole = session.spark.read.text(path, wholetext=True)
     parts = whole.select(F.split("value", pattern, -1).alias("p"))
     last = F.element_at("p", -1) == ""
     kept = F.when(last, F.slice("p", F.lit(1), F.size("p") - 1)).otherwise(F.col("p"))
-    return Dataset(_at_least(parts.select(F.explode(kept).alias("value")), min_partitions), session)
+    found = parts.select(F.explode(kept).alias("value"))
+    return Dataset(found if found.rdd.getNumPartitions() >= min_partitions else repartition_ordered(found, min_partitions), session)
 
 
 def save(data: Dataset, path: str, overwrite: bool = False, append: bool = False) -> None:
