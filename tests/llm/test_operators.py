@@ -336,28 +336,73 @@ def test_em_finds_accuracies(spark):
 # -- fingerprints
 
 
-def test_fingerprint_neighbours(spark, none):
-    texts = ["abcd" * 9, "Hello there. You!\nNew line.\n", "", "é日本語 text. More.", "abcd" * 9]
-    df = spark.createDataFrame([(10 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    for buckets in (1, 3, 50):
-        got = sorted(fingerprint.edited_neighbours(df, buckets=buckets).collect())
-        for i, t in enumerate(texts):
-            k = len(t) // 4
-            edited = t[: len(t) - k] + texts[(i + 1) % len(texts)][:k]
-            assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[0]["fingerprint"] == got[4]["fingerprint"] and got[4]["near_next"] == 1.0 and got[2]["near_edited"] == 1.0
-        assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    assert fingerprint.edited_neighbours(none).collect() == []
-
-
-def test_fingerprint_odd_rows_and_changes(odd, spark):
-    assert fingerprint.edited_neighbours(odd).count() == 14
+def brute_fingerprint(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections, paragraphs = [], []
+    for line in (text or "").split("\n"):
+        leaves = [sha(x) for x in re.findall(r"[^.!?\n]{1,32}[.!?\n]*|[.!?\n]+", line)]
+        paragraphs.append((sha("p" + "".join(leaves)), "".join(x[:8] for x in leaves)))
+        if paragraphs[-1][0][-1] in "01":
+            sections.append(paragraphs)
+            paragraphs = []
+    sections += [paragraphs] if paragraphs else []
+    names = [sha("s" + "".join(h for h, _ in s)) for s in sections]
+    return sha("r" + "".join(names)) + "".join("/" + n[:16] + "".join(":" + h[:16] + x for h, x in s) for n, s in zip(names, sections))
+
+
+def brute_likeness(a, b):
+    """From the fingerprints alone."""
+    if a == b:
+        return 1.0
+    trees = [[s.split(":") for s in x.split("/")[1:]] for x in (a, b)]
+    leaves = lambda ps: [p[i : i + 8] for p in ps for i in range(16, len(p), 8)]
+    total = sum(len(leaves(s[1:])) for t in trees for s in t)
+    missing = lambda x, y, name: [i for i in x if name(i) not in {name(j) for j in y}]
+    left, right = ([p for s in missing(x, y, lambda s: s[0]) for p in s[1:]] for x, y in (trees, trees[::-1]))
+    left, right = (missing(x, y, lambda p: p[:16]) for x, y in ((left, right), (right, left)))
+    x, y = leaves(left), leaves(right)
+    return 1 - (len(missing(x, y, str)) + len(missing(y, x, str))) / total if total else 0.0
+
+
+def neighbour_order(rows):
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+def test_fingerprints_against_brute_force(spark, odd, none, ranges):
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(["alpha", "beta.", "gamma", "delta!", "é日本"]) for _ in range(rng.randrange(14)))
+    docs = [(i if i % 9 else None, "\n".join(line() for _ in range(rng.randrange(30)))) for i in range(120)]
+    docs += [(500, line()) for _ in range(40)] + [(7, docs[7][1])] + [(r[0], r[1]) for r in odd_rows()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = collections.Counter(tuple(r[:6]) + (round(r[6], 9),) for r in fingerprint.edited_neighbours(df, ranges=ranges).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.round("near_edited", 9), "near_next").collect())
+    order, want = neighbour_order(docs), collections.Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        fp, other, following = map(brute_fingerprint, (t, edited, after))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp, other, round(brute_likeness(fp, other), 9), round(brute_likeness(fp, following), 9)] += 1
+    assert got == want
+    assert fingerprint.edited_neighbours(none, ranges=ranges).collect() == []
+    assert fingerprint.edited_neighbours(odd, ranges=ranges).count() == 14
+
+
+def test_fingerprints_shuffle_text_once(odd):
+    plan = fingerprint.edited_neighbours(odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") - plan.count("ReusedExchange") == 2  # the test's own and the ranges
+
+
+def test_fingerprint_changes(spark):
     a = "\n".join(f"line {i}" for i in range(50))
     b = a.replace("line 30", "line thirty")
     df = spark.createDataFrame([(a, b)], "a string, b string")
     r = df.select(fingerprint.tree(F.col("a")).alias("x"), fingerprint.tree(F.col("b")).alias("y")).select(
         fingerprint.changed_paragraphs(F.col("x"), F.col("y")).alias("c"), fingerprint.likeness(F.col("x"), F.col("y")).alias("l")).first()
-    assert r["c"] == [hashlib.sha256(b"line 30").hexdigest()] and 0.9 < r["l"] < 1
+    leaf = hashlib.sha256(b"line 30").hexdigest()
+    assert r["c"] == [hashlib.sha256(b"p" + leaf.encode()).hexdigest()] and r["l"] == pytest.approx(0.98)
 
 
 # -- languages, quality, toxicity
