@@ -94,11 +94,11 @@ PART = 1 << 24
 
 
 def part_count(df: DataFrame, part: int = PART) -> int:
-    """Partitions for what ``df`` reads: one for ``part`` bytes of its leaves, two for each core at least."""
+    """Partitions for what ``df`` reads: one for ``part`` bytes of its leaves, one for each core at least."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
     known = sum(x for x in sizes if x < 1 << 60)  # above: the optimizer's way to say that it does not know
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-known // part))
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // part))
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -111,7 +111,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor costs nothing that was written, and later passes prune columns.
     Spark drops the write's own shuffle files when it ends. Small inputs do not
     become many small files: a file stands for ``PART`` bytes of what the plan
-    reads, or there are two for each core.
+    reads, or there is one for each core.
     """
     spark = df.sparkSession
     path, before = new_path(spark, label), spark.conf.get(_CLEANUP)

@@ -16,31 +16,33 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     the ends of edges and drops loops and repeats. A star is gone in one round.
     On a chain, whatever its numbering, a node is the least of its surroundings
     once in three or five, so rounds are logarithmic in the longest path. The
-    moves of the rounds, each a fraction of the one before, are joined up at
-    the end. Nothing but the fact that edges are left reaches the driver. Null
-    ends, loops and repeated edges are ignored; no edges give no rows.
+    edges of a round are written, which cuts the lineage; moves follow from
+    them, and those of all rounds, each a fraction of the one before, are
+    joined up at the end. Nothing but the fact that edges are left reaches the
+    driver. Null ends, loops and repeated edges are ignored; no edges give no
+    rows. ``edges`` is read several times, so it should be a table.
     """
-    kind = edges.schema[src].dataType
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     moves: list[DataFrame] = []
     while not e.isEmpty():
-        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(place("v")).alias("m")).select(F.col("u").alias("v"), F.least("m", place("u")).alias("m"))
-        # Each node is among its neighbours' neighbours, so its own least one is not missed.
-        far = both.join(near, "v").groupBy("u").agg(F.min("m").alias("m"))
-        move = materialize(far.select("u", F.col("m.x").alias("p")), "moves")
-        moves.append(move)
-        at_v = move.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        e = e.join(move, "u").join(at_v, "v").select(F.least("p", "pv").alias("u"), F.greatest("p", "pv").alias("v"))
-        e = materialize(e.where("u <> v").distinct(), "edges")
+        moves.append(_moved(e, len(moves)))
+        at_u, at_v = moves[-1], moves[-1].select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        renamed = e.join(at_u, "u").join(at_v, "v").select(F.least("p", "pv").alias("u"), F.greatest("p", "pv").alias("v"))
+        e = materialize(renamed.where("u <> v").distinct(), "edges")
     if not moves:
-        return e.select(F.col("u").alias("node"), F.col("v").cast(kind).alias("component"))
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     labels = moves[-1]
     for move in reversed(moves[:-1]):
         later = labels.select(F.col("u").alias("p"), F.col("p").alias("last"))
         labels = move.join(later, "p", "left").select("u", F.coalesce("last", "p").alias("p"))
-    labels = materialize(labels, "labels")
     low = labels.groupBy("p").agg(F.min("u").alias("component"))
     return materialize(labels.join(low, "p").select(F.col("u").alias("node"), "component"), "components")
+
+
+def _moved(e: DataFrame, number: int) -> DataFrame:
+    """(u, p): each node and the one of least place within two steps."""
+    place = lambda c: F.struct(F.xxhash64(F.lit(number), c).alias("h"), F.col(c).alias("x"))
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.min(place("v")).alias("m")).select(F.col("u").alias("v"), F.least("m", place("u")).alias("m"))
+    # Each node is among its neighbours' neighbours, so its own least one is not missed.
+    return both.join(near, "v").groupBy("u").agg(F.min("m").alias("m")).select("u", F.col("m.x").alias("p"))

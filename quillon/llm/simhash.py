@@ -249,9 +249,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """(id, fp, component_id) for each row: the smallest id that links reach, its own included."""
     fps = materialize(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words=words), "fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    found = connected_components(links(distinct, distance, hot))
+    found = connected_components(materialize(links(distinct, distance, hot), "links"))
     found = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    found = materialize(found, "components")
     lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = materialize(found.join(lowest, "component").select("fp", "component_id"), "lowest")
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -490,7 +489,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(own.join(materialize(sizes, "sizes"), "key"), "shared")
     # How many others a node shares its keys with: greatest for the text that the others are copies of.
-    central = materialize(shared.groupBy("node").agg(F.sum("n").alias("w")), "central")
+    central = shared.groupBy("node").agg(F.sum("n").alias("w"))
 
     def possible(x: str, y: str):
         """Whether two texts that meet at these places of the order can be alike: at most so many are in common."""
@@ -520,7 +519,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # First each text with the one most like it; then only what would join groups that are apart still.
     other = F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))
     best = pairs.select("a", "b", "alike", ends).groupBy("node").agg(F.max_by(other, F.col("alike") * 1024 + F.pmod(F.xxhash64("a", "b"), F.lit(1024))).alias("other"))
-    tried = materialize(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "tried")
+    tried = best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     found = verified(tried)
     groups = connected_components(found, "a", "b")
     of = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"group_{n}"))
@@ -548,15 +547,10 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.xxhash64(text).alias("node"), text.alias("text"), F.col(id_col).alias("id"))
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
-    nodes = materialize(rows.groupBy("node").agg(F.min(rank).alias("low"), F.count("*").alias("n")), "nodes")
+    nodes = rows.groupBy("node").agg(F.min(rank).alias("low"))
     found = near_duplicates(rows.select("node", "text"), words, similarity)
     joined = nodes.join(found, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
-    joined = materialize(joined, "joined")
-    keep = joined.groupBy("component").agg(F.min(F.struct("low", "node")).alias("m")).select(F.col("m.node").alias("node"), F.col("m.low.id").alias("low_id"))
-    keep = materialize(keep, "keep")
-    kept = rows.select("row", "node", "id").join(keep, "node").where("id <=> low_id")
-    twice = materialize(rows.select("node", "id").join(keep, "node").where("id <=> low_id").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "twice")
-    if twice.isEmpty():
-        return kept.select("row.*")
-    one = kept.join(twice, "node", "left_semi").groupBy("node").agg(F.first("row").alias("row"))
-    return kept.join(twice, "node", "left_anti").select("row.*").unionByName(one.select("row.*"))
+    keep = joined.groupBy("component").agg(F.min(F.struct("low", "node")).alias("m")).select(F.col("m.node").alias("node"))
+    # One row of each text is left before texts are shuffled, so copies do not meet in one task.
+    one = rows.groupBy("node").agg(F.min_by("row", rank).alias("row"))
+    return one.join(materialize(keep, "keep"), "node").select("row.*")
