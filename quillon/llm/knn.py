@@ -5,8 +5,9 @@ shapes (letter case, digits, punctuation, repeats), each block log-scaled,
 weighted by inverse document frequency and of unit length. A truncated SVD of
 the labelled sample gives the latent space. The labelled vectors are broadcast
 (``bound`` of ``DIMENSIONS`` floats); every document's cosine to each of them
-is computed, blocks of documents at a time, and the ``NEIGHBOURS`` nearest vote
-with the weight of their similarity.
+is computed, blocks of documents at a time, and the ``NEIGHBOURS`` nearest vote with
+the ``POWER``-th power of their similarity (near ones count far more than those
+at the rim) times the root of how many labelled rows each stands for.
 
 The fit uses at most ``bound`` labelled rows, chosen by hash. Defined results:
 a null or wordless text gets the share of label 1; repeated rows get equal
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from ._common import map_arrow, worker_cache
 from .bpe import Memo
 
-BOUND, DIMENSIONS, NEIGHBOURS = 4000, 48, 15
+BOUND, DIMENSIONS, NEIGHBOURS, POWER = 4000, 48, 15, 8
 WORDS, SHAPES = 2048, 512
 _EDGE = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7F]+|(.)\1*", re.S)
 
@@ -98,7 +99,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         cosine = self.latent(x) @ self.vectors.T
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** 8
+        vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** POWER
         # Classes are sampled unevenly; half of the correction keeps the rarer one audible.
         vote = vote * np.sqrt(self.weights[near])
         total = vote.sum(1)
@@ -111,12 +112,12 @@ def fit(sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.minimum(counts(t.as_py() or ""), 65535).astype("<u2").tobytes() for t in batch["text"]]
+            rows = [counts(t.as_py() or "").astype("<u4").tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["weight"], pa.array(rows, pa.binary())], names=["id", "label", "weight", "x"])
 
     taken = sample.select(F.col(id_col).cast("string").alias("id"), "label", "weight", F.col(text_col).alias("text"))
     rows = sorted(map_arrow(taken, run, "id string, label int, weight double, x binary").collect(), key=lambda r: (r["id"], r["label"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<u2") for r in rows]).reshape(len(rows), WORDS + SHAPES)
+    x = np.array([np.frombuffer(r["x"], "<u4") for r in rows]).reshape(len(rows), WORDS + SHAPES)
     return Model(x, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows]))
 
 

@@ -8,9 +8,10 @@ as if a text had ``EVIDENCE`` words at most, so that it stays a probability
 worth reading.
 
 The fit uses about ``BOUND`` documents, the same number from each language
-where there are as many, chosen by hash; it keeps the ``WORDS`` most
-frequent words and ``GRAMS`` most frequent n-grams, so what is broadcast is
-bounded. Defined results: ``und`` with score 0 for a null text, one without a
+where there are as many, chosen by hash, so what is broadcast is bounded by
+them. Known is a word or n-gram that they have ``KNOWN`` times or more; a word
+met once backs off like an unseen one. Frequencies are shares of all that was
+counted. A table without a language column's values teaches nothing. Defined results: ``und`` with score 0 for a null text, one without a
 letter, or where nothing was learned; repeated rows score alike; an empty table
 gives an empty result; other columns pass through ``identify`` unless named
 as an output.
@@ -18,7 +19,6 @@ as an output.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow
+from ._common import map_arrow, materialize
 from .samples import share_of
 
-BOUND, WORDS, GRAMS, LONGEST = 8000, 60_000, 60_000, 5
+BOUND, KNOWN, LONGEST = 8000, 2, 5
 SMOOTH, EVIDENCE = 0.1, 20
 ROWS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,26 +49,28 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words (key ``w`` + word) and of n-grams (``1`` to ``5`` + n-gram)."""
+    """Log frequencies by language of words (key ``w`` + word) and of n-grams (``1`` to ``5`` + n-gram): a row of a matrix each."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], langs: list[str], totals: dict[tuple[str, str], int]):
+    def __init__(self, features: list[str], counts: np.ndarray, langs: list[str], totals: dict[str, np.ndarray]):
+        """counts: features by languages; totals: of each kind of feature, all counts by language and how many features there were."""
         self.langs = langs
-        kinds = Counter(k[0] for k in counts)
-        under = {(k, l): math.log(totals.get((k, l), 0) + SMOOTH * (kinds[k] + 1)) for k in kinds for l in langs}
-        self.table = {f: np.array([math.log(by.get(l, 0) + SMOOTH) - under[f[0], l] for l in langs], np.float32) for f, by in counts.items()}
+        under = {k: np.log(x[:-1] + SMOOTH * (x[-1] + 1)) for k, x in totals.items()}
+        self.row = {f: i for i, f in enumerate(features)}
+        below = np.array([under[f[0]] for f in features]).reshape(len(features), len(langs))
+        self.matrix = (np.log(counts.reshape(below.shape) + SMOOTH) - below).astype(np.float32)
         self._rows: dict[str, int] | None = None
 
     def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "_rows": None}
+        return self.__dict__ | {"_rows": None, "_matrix": None}
 
     def word(self, w: str) -> np.ndarray:
-        found = self.table.get("w" + w)
+        found = self.row.get("w" + w)
         if found is not None:
-            return found
+            return self.matrix[found]
         for n in range(LONGEST, 0, -1):
-            known = [self.table[k] for g in grams(w, n) if (k := f"{n}{g}") in self.table]
+            known = [self.row[k] for g in grams(w, n) if (k := f"{n}{g}") in self.row]
             if known:
-                return np.mean(known, axis=0)
+                return self.matrix[known].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
     def total(self, words: list[str]) -> np.ndarray:
@@ -124,17 +126,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(keys)), pa.array(keys), pa.array([found[k] for k in keys])], names=["lang", "feature", "n"])
 
     counted = map_arrow(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, feature string, n long")
-    by = counted.groupBy("feature", "lang").agg(F.sum("n").alias("n"))
-    by = by.groupBy("feature").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).where("n > 1")
-    is_word = F.col("feature").startswith("w")
-    rows = by.where(is_word).orderBy(F.desc("n"), "feature").limit(WORDS).unionByName(by.where(~is_word).orderBy(F.desc("n"), "feature").limit(GRAMS)).collect()
-    counts = {r["feature"]: {x["lang"]: x["n"] for x in r["by"]} for r in rows}
-    langs = sorted({l for x in counts.values() for l in x})
-    totals: Counter = Counter()
-    for f, x in counts.items():
-        for l, n in x.items():
-            totals[f[0], l] += n
-    return Model(counts, langs, dict(totals))
+    by = materialize(counted.groupBy("feature", "lang").agg(F.sum("n").alias("n")), "features")
+    langs = [r["lang"] for r in by.select("lang").distinct().orderBy("lang").collect()]
+    each = [F.sum(F.when(F.col("lang") == l, F.col("n")).otherwise(0)).alias(f"n{i}") for i, l in enumerate(langs)]
+    names = [f"n{i}" for i in range(len(langs))]
+    kinds = by.groupBy(F.substring("feature", 1, 1).alias("kind")).agg(*each, F.count_distinct("feature").alias("features")).collect()
+    known = by.groupBy("feature").agg(*each, F.sum("n").alias("n")).where(F.col("n") >= KNOWN).select("feature", *names).orderBy("feature").toArrow()
+    counts = np.column_stack([known[c].to_numpy() for c in names]).astype(np.float64) if names else np.zeros((0, 0))
+    return Model(known["feature"].to_pylist(), counts, langs, {r["kind"]: np.array(r[1:], np.float64) for r in kinds})
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

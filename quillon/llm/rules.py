@@ -14,45 +14,62 @@ as an output.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WORD, let, materialize, once
 
-#: Iterations of EM over the pattern table; it settles in fewer than ten.
-ITERATIONS = 15
+#: EM ends when no accuracy moves by more than SETTLED; if ITERATIONS do not do, that is told by a warning.
+ITERATIONS, SETTLED = 100, 1e-6
+#: Votes (three in four right) that every rule has beforehand.
 SMOOTH = 2.0
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(words: Column, hash_bits: int = 64) -> Column:
     """Words in 3-word windows found twice or more, the first occurrence included.
 
-    Windows are sorted as longs, hash above and position below; neighbours
-    of equal hash are compared word by word, so no pair of different windows
-    counts as equal. A window's own position takes as few bits as the text needs.
+    Windows are sorted as longs, hash above and position below (a position takes
+    as few bits as the text needs), so equal ones are neighbours as a rule. The
+    words decide, not the hash: where neighbours of equal hash differ, a few
+    texts in a corpus, the windows of that text are sorted by their words.
     """
     n = F.size(words)
     bits = F.length(F.bin(n.cast("long")))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - F.lit(1).cast("long")
+    places = F.sequence(F.lit(0), n - 3)
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
+
+    def by_words() -> Column:
+        w = F.array_sort(F.transform(places, lambda i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(window(i))], i.cast("long").alias("at"))))
+
+        def flagged(s: Column) -> Column:
+            same = lambda a, b: F.coalesce((a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
+            twice = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+            return F.array_sort(F.transform(twice, lambda x: x["at"]))
+
+        return let(w, flagged)
 
     def found(mask: Column) -> Column:
         high = F.bitwise_not(mask)
-        packed = F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("long")),
-        )
+        short = F.lit(-1 if hash_bits == 64 else -1 << (64 - hash_bits)).cast("long")
+        packed = F.transform(places, lambda i: F.xxhash64(*window(i)).bitwiseAND(short).bitwiseAND(high).bitwiseOR(i.cast("long")))
 
         def flagged(s: Column) -> Column:
+            def hashes(a: Column, b: Column) -> Column:
+                return a.bitwiseXOR(b).bitwiseAND(high) == 0
+
             def same(a: Column, b: Column) -> Column:
                 p, q = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-                equal = (a.bitwiseXOR(b).bitwiseAND(high) == 0)
+                equal = hashes(a, b)
                 for k in range(3):
                     equal = equal & (F.get(words, p + k) == F.get(words, q + k))
                 return F.coalesce(equal, F.lit(False))
 
+            mixed = F.exists(F.sequence(F.lit(1), F.size(s)), lambda k: F.coalesce(hashes(F.get(s, k - 1), F.get(s, k)), F.lit(False)) & ~same(F.get(s, k - 1), F.get(s, k)))
             twice = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-            return F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(mask)))
+            return F.when(mixed, by_words()).otherwise(F.array_sort(F.transform(twice, lambda x: x.bitwiseAND(mask))))
 
         start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("sum"))
         step = lambda acc, p: F.struct(p.alias("last"), (acc["sum"] + F.least(F.lit(3).cast("long"), p - acc["last"])).alias("sum"))
@@ -120,9 +137,13 @@ def fit_accuracies(votes: DataFrame, names: list[str], iterations: int = ITERATI
 
     The frame is first reduced to counts by pattern. Each iteration is one
     aggregate of that table, and the driver gets one row of sums from it.
+    Accuracies are held between 0.5 (a rule that is wrong more often than not
+    would turn what "good" means around) and 0.999 (no rule is beyond doubt),
+    the share between 0.05 and 0.95, so that no posterior is 0 or 1 whatever the
+    votes.
     """
     patterns = materialize(votes.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
-    accuracy, prior = dict.fromkeys(names, 0.75), 0.5
+    accuracy, prior, moved = dict.fromkeys(names, 0.75), 0.5, 0.0
     for _ in range(iterations):
         p = _posterior({k: F.col(k) for k in names}, accuracy, prior)
         sums = [F.sum(F.col("n")).alias("n"), F.sum(F.col("n") * p).alias("good")]
@@ -135,8 +156,10 @@ def fit_accuracies(votes: DataFrame, names: list[str], iterations: int = ITERATI
         new = {k: min(0.999, max(0.5, (row[f"{k}_right"] + 0.75 * SMOOTH) / ((row[f"{k}_n"] or 0) + SMOOTH))) for k in names}
         moved = max(abs(new[k] - accuracy[k]) for k in names)
         accuracy, prior = new, min(0.95, max(0.05, row["good"] / row["n"]))
-        if moved < 1e-6:
+        if moved < SETTLED:
             break
+    else:
+        warnings.warn(f"accuracies still move by {moved:.2g} after {iterations} iterations", stacklevel=2)
     return accuracy, prior
 
 

@@ -2,14 +2,18 @@
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts
 and digits or signs that stand for letters to plain ones, drops invisible
-characters and turns the rest into spaces. The lexicon is learned: beginnings
-of words whose log odds to stand in toxic documents are high, each as long as
-it can be without losing documents. Phrases around a term that stand only in
-clean documents are exceptions and take its weight back. The sum of
-weights, as such and by length, goes through a logistic curve.
-
-The fit uses at most ``BOUND`` labelled rows, chosen by hash; the lexicon has
-``TERMS`` entries at most. Defined results: a null or empty text scores as one
+characters and turns each run of the rest into one space, so phrases match
+across punctuation. The lexicon is learned: beginnings of words (and short
+words whole) whose log odds to stand in toxic documents are high beyond chance,
+each as long as it can be without losing documents. Phrases around a term that
+stand only in clean documents are exceptions and take its weight back. The sum
+of weights goes through a logistic curve twice: divided by length, which tells
+an insult from a slip in a long text, and as it is, since the same words do not
+become harmless because more text follows. Which counts how much is learned.
+
+The fit uses at most ``BOUND`` labelled rows, chosen by hash, and keeps every
+term that they support; a word longer than ``LONGEST`` letters is known by its
+first ``LONGEST``. Defined results: a null or empty text scores as one
 without terms; repeated rows score alike; without labelled rows of both kinds
 the lexicon is empty and every score is the share of toxic rows; an empty table
 gives an empty result; other columns pass through ``classify`` unless named as
@@ -32,8 +36,11 @@ from pyspark.sql import types as T
 
 from ._common import map_arrow
 
-BOUND, TERMS = 8000, 2000
-SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS = 4, 14, 8, 2.5
+BOUND = 8000
+#: Letters of a beginning (words with fewer are taken whole), least log odds of a term.
+SHORTEST, LONGEST, LEAST_ODDS = 4, 14, 2.5
+#: Least log-likelihood ratio of a term against chance: 19.5 is passed by one in a hundred thousand features that mean nothing, whatever the sample's size.
+LEAST_RATIO = 19.5
 
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһпгтмвкοαερτυνικηζᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢıłøđ", "aeopcyxijsdhnrtmbkoaeptuvikhzabcdeghijklmnoprstuvwyzilod", strict=True))
 _STANDINS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -53,13 +60,20 @@ _FOLD = _Fold({c: None for c in _INVISIBLE} | {ord(a): b for a, b in _LOOKALIKES
 
 
 def fold(text: str) -> str:
+    """Folded words, one space before, between and after them."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-    return " " + text.lower().translate(_FOLD) + " "
+    words = text.lower().translate(_FOLD).split()
+    return f" {' '.join(words)} " if words else " "
+
+
+def _terms_of(word: str) -> list[str]:
+    """What a lexicon may hold of a word: its beginnings, or a short word itself, ended by a space."""
+    return [word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1)] or [word + " "]
 
 
 def _beginnings(text: str) -> set[str]:
-    return {w[:n] for w in set(fold(text).split()) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    return {t for w in set(fold(text).split()) for t in _terms_of(w)}
 
 
 def _counted(sample: DataFrame, features) -> DataFrame:
@@ -99,7 +113,7 @@ def choose(found: dict[str, tuple[float, int]]) -> dict[str, float]:
         if any(kept.get(f[:k], -9.0) >= odds - 1.5 for k in range(SHORTEST, len(f))):
             continue
         kept[f] = odds
-    return dict(sorted(kept.items(), key=lambda x: (-found[x[0]][1] * x[1], x[0]))[:TERMS])
+    return kept
 
 
 class Model:
@@ -141,7 +155,7 @@ def _around(terms: dict[str, float]):
     def features(text: str) -> set[str]:
         words, out = fold(text).split(), set()
         for i, w in enumerate(words):
-            if any(w[:k] in terms for k in range(SHORTEST, len(w) + 1)):
+            if any(t in terms for t in _terms_of(w)):
                 if i:
                     out.add(f"{words[i - 1]} {w}")
                 if i + 1 < len(words):
@@ -167,22 +181,24 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...
 
 def fit(sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """From a bounded frame of (id, text, label, weight)."""
-    sample = sample.select(F.col(text_col).alias("text"), "label", "weight")
+    # Copies are one witness.
+    sample = sample.groupBy(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label").agg(F.sum("weight").alias("weight"))
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = 0.5 if not n else float(1 in n)
         return Model({}, {}, (math.log((share + 0.01) / (1.01 - share)), 0.0, 0.0))
     rate = lambda k: (F.col("pos" if k else "neg") + 0.5) / F.lit(n[k] + 1.0)
     odds = (F.log(rate(1)) - F.log(rate(0))).alias("odds")
-    seen = _counted(sample, _beginnings).where(F.col("pos") >= LEAST_DOCS).select("feature", "pos", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = seen.orderBy(F.desc(F.col("pos") * F.col("odds")), "feature").limit(20 * TERMS).collect()
+    # Documents with the feature of either kind against those that chance would give.
+    both, share = F.col("pos") + F.col("neg"), n[1] / (n[0] + n[1])
+    part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (both * q))).otherwise(0.0)
+    ratio = 2 * (part("pos", share) + part("neg", 1 - share))
+    rows = _counted(sample, _beginnings).where(ratio >= LEAST_RATIO).select("feature", "pos", odds).where(F.col("odds") >= LEAST_ODDS).collect()
     terms = choose({r["feature"]: (r["odds"], r["pos"]) for r in rows})
     exceptions: dict[str, float] = {}
     if terms:
-        clean = _counted(sample, _around(terms)).where("pos = 0").where(F.col("neg") >= LEAST_DOCS).orderBy(F.desc("neg"), "feature").limit(TERMS).collect()
-        for r in clean:
-            hit = [w for w in r["feature"].split() for k in range(SHORTEST, len(w) + 1) if w[:k] in terms]
-            exceptions[r["feature"]] = sum(terms[w[:k]] for w in set(hit) for k in range(SHORTEST, len(w) + 1) if w[:k] in terms)
+        for r in _counted(sample, _around(terms)).where("pos = 0").where(ratio >= LEAST_RATIO).collect():
+            exceptions[r["feature"]] = sum(terms[t] for w in r["feature"].split() for t in _terms_of(w) if t in terms)
     model = Model(terms, exceptions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,6 +323,44 @@ def test_rules_against_brute_force(odd, none):
     assert rules.judge(none.select("doc_id", "text")).collect() == []
 
 
+@pytest.mark.parametrize("hash_bits", [64, 6])
+def test_rules_measures_and_verdicts_against_brute_force(spark, hash_bits, monkeypatch):
+    """With 6 bits of hash nearly every window has neighbours of equal hash and other words."""
+    real = rules.repeated_words
+    monkeypatch.setattr(rules, "repeated_words", lambda words: real(words, hash_bits))
+    rng = random.Random(hash_bits)
+    word = lambda: rng.choice(["the", "cat", "sat#", "ON", "mat$$", "dog!", "|", "<b>", "höhe"])
+    docs = [(i, "\n".join(rng.choice([" ".join(word() for _ in range(rng.randrange(12))), "same line", " ", ""]) for _ in range(rng.randrange(30)))) for i in range(150)]
+    docs += [(200 + i, " ".join(f"w{rng.randrange(400)}" for _ in range(60 + i))) for i in range(60)]
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    names = [n for n in got[0].__fields__ if n.startswith("vote_")]
+    judged = [r for r in got.values() if not r["base_failed"]]
+    accuracy, prior = dict.fromkeys(names, 0.75), 0.5
+    posterior = lambda r: 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - sum(r[n] * np.log(accuracy[n] / (1 - accuracy[n])) for n in names)))
+    for _ in range(rules.ITERATIONS):
+        p = [posterior(r) for r in judged]
+        new = {n: min(0.999, max(0.5, (sum(x if r[n] == 1 else 1 - x for r, x in zip(judged, p) if r[n]) + 1.5) / (sum(r[n] != 0 for r in judged) + 2.0))) for n in names}
+        moved = max(abs(new[n] - accuracy[n]) for n in names)
+        accuracy, prior = new, min(0.95, max(0.05, sum(p) / len(p)))
+        if moved < 1e-6:
+            break
+    assert len(judged) > 50
+    for doc_id, text in docs:
+        w, r, lines = re.findall(r"[^\x20\x09-\x0D]+", text), got[doc_id], [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
+        windows = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {k for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for k in (i, i + 1, i + 2)}
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert abs(r["posterior"] - posterior(r)) < 1e-6 and r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+
+
+def test_em_tells_when_it_does_not_settle(spark):
+    votes = spark.createDataFrame([(1, -1)] * 30 + [(1, 1)] * 40 + [(-1, 1)] * 10, "a int, b int")
+    with pytest.warns(UserWarning, match="still move"):
+        rules.fit_accuracies(votes, ["a", "b"], 1)
+
+
 def test_em_finds_accuracies(spark):
     rng = random.Random(2)
     votes = []
@@ -423,6 +461,92 @@ def test_language_backs_off(spark, none):
     assert {r["lang_pred"] for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    rng = random.Random(9)
+    parts = {"aa": ["ka", "to", "mi", "sh"], "bb": ["ner", "gul", "ost", "to"], "cc": ["é", "mi", "gul"]}
+    make = lambda l, n: " ".join("".join(rng.choice(parts[l]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    docs = [(i, make(l, rng.randrange(40)), l) for i, l in enumerate(list(parts) * 30)]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3))
+    counts, kinds = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for _, text, l in docs:
+        for w in langid._WORD.findall(text.lower()):
+            for f in ["w" + w, *(f"{n}{g}" for n in range(1, 6) for g in langid.grams(w, n))]:
+                counts[f][l] += 1
+                kinds[f[0]][l] += 1
+    features = collections.Counter(f[0] for f in counts)
+    known = {f: c for f, c in counts.items() if sum(c.values()) > 1}
+    logs = lambda f: [np.log(known[f][l] + 0.1) - np.log(kinds[f[0]][l] + 0.1 * (features[f[0]] + 1)) for l in parts]
+
+    def brute(text):
+        total, words = np.zeros(3), langid._WORD.findall((text or "").lower())
+        for w in words:
+            if "w" + w in known:
+                total += logs("w" + w)
+                continue
+            for n in range(5, 0, -1):
+                found = [logs(f"{n}{g}") for g in langid.grams(w, n) if f"{n}{g}" in known]
+                if found:
+                    total += np.mean(found, axis=0)
+                    break
+        if not words:
+            return "und", 0.0
+        p = np.exp((total - total.max()) * min(1.0, 20 / len(words)))
+        return list(parts)[int(p.argmax())], p.max() / p.sum()
+
+    tests = [(i, make(rng.choice(list(parts)), rng.randrange(30)) + rng.choice(["", " tokatokagul", " qqq", " 12"])) for i in range(80)] + [(90, None), (91, "")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    for i, text in tests:
+        lang, score = brute(text)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
+def brute_measure(terms, exceptions, text):
+    words = toxicity.fold(text).split()
+    total = sum(w for t, w in terms.items() for x in words if (x + " ").startswith(t))
+    phrases = [e.split() for e in exceptions]
+    return max(0.0, total - sum(w for e, w in zip(phrases, exceptions.values()) for i in range(len(words)) if words[i : i + len(e)] == e)), np.log1p(len(words) + 1)
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(12)
+    terms, exceptions = {"kill": 2.5, "killer": 1.0, "ass ": 3.0, "scum": 4.0}, {"killer whale": 3.5, "big ass": 3.0}
+    m = toxicity.Model(terms, exceptions, (-2.0, 1.0, 0.5))
+    for _ in range(2000):
+        t = rng.choice(["", " "]).join(rng.choice(["k1ller", "killer", "whale", ",", " ", "\n", "big", "ass", "assume", "ѕcum", "scums", "the", ". ", "-"]) + rng.choice(["", " ", "  ", ", "]) for _ in range(rng.randrange(15)))
+        assert m.measure(t) == pytest.approx(brute_measure(terms, exceptions, t))
+    docs, labels = labelled_docs(spark)
+    sample = samples.labelled(docs, labels, "toxic", 200)
+    rows, model = sample.collect(), toxicity.fit(sample)
+    n = collections.Counter(r["label"] for r in {(r["text"], r["label"]): r for r in rows}.values())
+    seen = collections.defaultdict(collections.Counter)
+    for text, label in {(r["text"], r["label"]) for r in rows}:
+        for f in toxicity._beginnings(text):
+            seen[f][label] += 1
+    found = {}
+    for f, c in seen.items():
+        odds = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
+        share = n[1] / (n[0] + n[1])
+        both = c[0] + c[1]
+        ratio = 2 * sum(c[k] * np.log(c[k] / (both * q)) for k, q in ((1, share), (0, 1 - share)) if c[k])
+        if odds >= 2.5 and ratio >= toxicity.LEAST_RATIO:
+            found[f] = (odds, c[1])
+    assert model.terms == pytest.approx(toxicity.choose(found)) and model.terms
+
+
+def test_neighbours_against_brute_force(spark):
+    docs, labels = labelled_docs(spark)
+    model = knn.fit(samples.labelled(docs, labels, "quality", 60))
+    got = {r["doc_id"]: r["score"] for r in knn.classify(docs, model).collect()}
+    for doc_id, text in docs.collect():
+        v = model.latent(knn.counts(text)[None])[0]
+        cosine = sorted(((float(v @ u), y, w) for u, y, w in zip(model.vectors, model.labels, model.weights)), key=lambda x: -x[0])[: knn.NEIGHBOURS]
+        votes = [(max(c, 0) ** 8 * np.sqrt(w), y) for c, y, w in cosine]
+        assert got[doc_id] == pytest.approx(sum(a * y for a, y in votes) / sum(a for a, _ in votes), abs=2e-2)
+    w = "ab cd ab. x".split()
+    c = knn.counts("ab cd ab. x\nab cd ab. x")
+    assert c[: knn.WORDS].sum() == 8 and c[knn.WORDS : -2].sum() == 8 and c[-2] == 5 and len(w) == 4
+
+
 def labelled_docs(spark):
     rng = random.Random(4)
     words = ["lorem", "ipsum", "dolor", "amet", "sed", "quia", "nemo"]
@@ -460,6 +584,7 @@ def test_classifiers(spark, odd, none):
 def test_toxicity_exceptions_take_the_weight_back():
     m = toxicity.Model({"killer": 3.0}, {"killer whale": 3.0}, (-2.0, 2.0, 0.0))
     assert m.measure("a k1ller came")[0] == 3.0 and m.measure("the killer whale")[0] == 0.0
+    assert m.measure("the killer, whale")[0] == m.measure("the killer  whale")[0] == m.measure("killer\nwhale")[0] == 0.0
 
 
 # -- token files
@@ -563,6 +688,43 @@ def test_bpe_equals_the_library(odd, none):
 # -- mixing
 
 
+def test_splitting_tree(spark):
+    quotas, shards = {"sa": 61, "sb": 200, "n": 7, "sc": 0}, 6
+    df = spark.createDataFrame(list(quotas.items()), "skey string, n long").repartition(2)
+
+    def sizes(units, k):
+        if k == 1:
+            return [units]
+        half = -(-k // 2)
+        left = int(units * half / k + 0.5)
+        return sizes(left, half) + sizes(units - left, k - half)
+
+    first = []
+    for seed in range(8):
+        got = {r["skey"]: np.diff([0, *r["upto"]]) for r in mixing.shard_quotas(df, shards, seed).collect()}
+        assert {k: int(v.sum()) for k, v in got.items()} == quotas and all((v >= 0).all() for v in got.values())
+        assert sum(got.values()).tolist() == sizes(sum(quotas.values()), shards)
+        first.append([int(got[k][:3].sum()) for k in ("sa", "sb")])
+    # Half of each source's units are expected in the first half of the shards; a draw of 134 from 268 has these spreads.
+    for values, n in zip(zip(*first), (61, 200)):
+        spread = np.sqrt(n * 0.25 * (268 - n) / 267)
+        assert len(set(values)) > 1 and abs(np.mean(values) - n / 2) < 3 * spread / np.sqrt(8) and max(abs(v - n / 2) for v in values) < 4.5 * spread
+
+
+def test_shards_hold_what_is_taken(spark):
+    docs = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    plan = {r["doc_id"]: collections.Counter(r["shards"]) for r in mixing.mix(df, shards=5).collect()}
+    seen = collections.defaultdict(collections.Counter)
+    for r in mixing.mixed_rows(df, shards=5).collect():
+        seen[r["doc_id"]][r["__shard"]] += 1
+    assert {k: v for k, v in plan.items() if v} == dict(seen)
+    placed = mixing.mixture(df, shards=5).withColumn("p", F.spark_partition_id()).collect()
+    per = len({r["p"] for r in placed}) // 5 or 1
+    by_shard = collections.Counter(r["p"] // per for r in placed)
+    assert by_shard == sum(plan.values(), collections.Counter())
+
+
 def test_mixing(spark, odd, none):
     docs = [(i, "w " * (i % 17), s) for i, s in enumerate(["a"] * 300 + ["b"] * 100 + ["c"] * 20 + [None] * 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
