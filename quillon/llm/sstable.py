@@ -40,7 +40,6 @@ import tiktoken
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -311,15 +310,16 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str
     # Ranges by id; rows of one id are told apart by their text, and equal rows by where they stood, so no id is too large for a shard.
     docs = docs.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("id").asc_nulls_first(), F.col("mark"), F.col("row")]
-    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(order[0], "mark", "text")
+    dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(order[0], "mark", "text").withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file.value, fast)
         store, top = _store(folder)
         end = np.array([end_id], enc.type).tobytes()
-        shard, out, writer = TaskContext.get().partitionId(), None, None
+        shard = out = writer = None
         for batch in batches:
             if writer is None and batch.num_rows:
+                shard = batch["shard"][0].as_py()
                 name = f"{top}/{shard:06d}-{uuid.uuid4().hex}.sst"
                 out = store.open_output_stream(name + ".part")
                 writer = Writer(out, int(enc.type[-1]))
@@ -333,7 +333,7 @@ def write(df: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: str
             yield pa.RecordBatch.from_arrays(row, names=["shard", "path", "entries", "tokens"])
 
     _store(folder)[0].create_dir(_store(folder)[1], recursive=True)
-    made = map_arrow(dealt.select("id", "text"), run, "shard int, path string, entries long, tokens long")
+    made = map_arrow(dealt.select("id", "text", "shard"), run, "shard int, path string, entries long, tokens long")
     return materialize(made, "manifest")
 
 
