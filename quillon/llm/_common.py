@@ -1,5 +1,5 @@
 """Helpers that the corpus operators share: shared-folder materialisation,
-native ``let`` binding, and id-range bucketing without a global window."""
+native ``let`` binding and names of texts."""
 
 from __future__ import annotations
 
@@ -135,26 +135,22 @@ def once(df: DataFrame, **named: Column) -> DataFrame:
     return df.select("*", made).select(*[df[c] for c in df.columns], *[F.col(cell)[k].alias(k) for k in named])
 
 
-def id_bounds(df: DataFrame, key: str, buckets: int, accuracy: int = 10_000) -> list[int]:
-    """At most ``buckets - 1`` existing values of ``key`` that deal its rows out evenly.
+def text_name(text: Column) -> Column:
+    return F.xxhash64(text)
 
-    One pass over the key column; the driver gets the bounds only.
+
+def named(df: DataFrame, text: Column, **columns: Column) -> DataFrame:
+    """``node``, a number that equal texts share and no others, ``text`` and ``columns`` of each row.
+
+    The XXH64 of the text is its name. Where a second hash shows that texts of
+    one name differ (a few in ten billion; the driver gets these names), they
+    take the second one.
     """
-    if buckets < 2:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(key, shares, accuracy).alias("b")).first()["b"]
-    return sorted(set(got or []))
-
-
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or below ``key``, by binary search in an array literal; null keys go to bucket 0."""
-    if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    table = F.array(*[F.lit(x) for x in bounds])
-    step = lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at)
-    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
+    rows = df.select(*[c.alias(k) for k, c in columns.items()], text_name(text).alias("node"), text.alias("text"))
+    second = F.xxhash64(F.lit(7), F.col("text"))
+    both = rows.select("node", second.alias("x")).groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    taken = [r["node"] for r in both.where("lo <> hi").select("node").collect()]
+    return rows.withColumn("node", F.when(F.col("node").isin(taken), second).otherwise(F.col("node"))) if taken else rows
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

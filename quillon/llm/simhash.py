@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, worker_cache
+from ._common import map_arrow, materialize, named, worker_cache
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -540,12 +540,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``df``, one of each group of near-duplicates: that of the smallest id (nulls last).
 
-    Equal texts are one node (64-bit XXH64 of the text; a null text is its own
-    group of null texts and empty ones). Of rows with the same id and text one stays.
+    Equal texts are one node (null texts and empty ones are equal). Of rows with the same id and text one stays.
     """
     cols = df.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.xxhash64(text).alias("node"), text.alias("text"), F.col(id_col).alias("id"))
+    rows = named(df, text, row=F.struct(*[F.col(c) for c in cols]), id=F.col(id_col))
     rank = F.struct(F.col("id").isNull().alias("none"), "id")
     nodes = rows.groupBy("node").agg(F.min(rank).alias("low"))
     found = near_duplicates(rows.select("node", "text"), words, similarity)

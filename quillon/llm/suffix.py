@@ -13,13 +13,15 @@ Rank 2: all the strings that hold the sample, as one (its hull). Where another
 hull is equal, all of these strings repeat.
 Rank 3, for hulls at the edge of a repeat: each string. The hulls of a class
 meet in one task if they are ``hot`` at most. Of larger classes (a line that a
-third of all documents hold) ranges of 20 strings are ranked first, by the
-bytes that a range has in common (a unique one is done), then as a whole, and
-only then the strings of the ranges that are left, all by groupings with
-partial aggregation: a group tells by its lowest and highest occurrence
-whether it has more than one.
-Texts are named by their 64-bit hash, so equal texts are one; they are repeats
-of each other as a whole.
+third of all documents hold) ranges of 30 strings are ranked first, by the
+bytes that a range has in common (a unique one is done), then as a whole, then
+ranges of 6 of those that are left, and only then single strings, all by
+groupings with partial aggregation: a group tells by its lowest and highest
+occurrence whether it has more than one.
+Equal texts are one; they are repeats of each other as a whole.
+
+``doubled_spans`` is prefix doubling over all positions, for texts that leave
+room for it: it gives the same result and moves many times the corpus.
 
 Defined results: a null text counts as empty; texts under ``length`` bytes have
 nothing removed; repeated rows are copies of each other; an empty table gives an
@@ -38,9 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import map_arrow, materialize, worker_cache
+from ._common import map_arrow, materialize, named, once, worker_cache
 
-LENGTH, PREFIX, RANGE = 200, 48, 20
+LENGTH, PREFIX = 200, 48
+#: Strings of the ranges that hot classes are ranked by, before single ones.
+RANGES = (30, 6)
 #: Classes of more hulls than this are ranked by groupings alone, others in one task each.
 HOT = 256
 SEGMENT = 1 << 20
@@ -252,24 +256,26 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     if not 8 <= prefix < length < 1 << 15:
         raise ValueError("length must be over 16 and under 32,768 bytes")
     window = length - prefix + 1
-    copies = docs.groupBy("node").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).cast("long").alias("end"))
-    copies = copies.where((F.col("n") > 1) & (F.col("end") >= length)).select("node", F.lit(0).cast("long").alias("start"), "end")
-
     samples = _samples(docs, length, prefix)
     # Written first, as are the groups in _ranked: a join of two plain exchanges is one whose hot keys Spark splits.
     often = materialize(samples.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls"), "often")
     rows = materialize(samples.join(often, "cls", "left_semi"), "samples")
 
     one = _ranked(rows.select("cls", "hull", "node", "at", F.lit(True).alias("open")), ["cls"], "hulls")
-    spans = [copies, one.where("shared and open").select("node", (_position() - _left()).alias("start"), (_position() + _right()).alias("end"))]
+    spans = [_copies(docs, length), one.where("shared and open").select("node", (_position() - _left()).alias("start"), (_position() + _right()).alias("end"))]
 
     # The bytes of the hulls that go on.
     wanted = one.where("rep").select("node", "cls", "at", (F.col("open") & ~F.col("shared")).alias("open"), (F.col("n") > hot).alias("hot"))
     wanted = wanted.groupBy("node").agg(F.collect_set(F.struct("cls", "at", "open", "hot")).alias("want"))
-    cut = F.substring(F.col("bytes"), (_position() - _left() + 1).cast("int"), (_left() + _right()).cast("int"))
-    texts = docs.select("node", "text").join(wanted, "node")
-    hulls = texts.select("node", F.col("text").cast("binary").alias("bytes"), F.explode("want").alias("w")).select("node", "bytes", "w.*")
-    hulls = materialize(hulls.select("cls", "node", "at", "open", "hot", cut.alias("bytes")), "bytes")
+    texts = once(docs.select("node", "text").join(wanted, "node"), bytes=F.col("text").cast("binary"))
+
+    def cut(w):  # in one pass over a text's samples, so no row carries the text for each of them
+        left, right = (F.shiftright(w["at"], k).bitwiseAND(F.lit(0xFFFF).cast("long")) for k in (16, 0))
+        first = F.shiftright(w["at"], 32) - left + 1
+        return F.struct(w["cls"].alias("cls"), w["at"].alias("at"), w["open"].alias("open"), w["hot"].alias("hot"), F.substring(F.col("bytes"), first.cast("int"), (left + right).cast("int")).alias("bytes"))
+
+    hulls = texts.select("node", F.explode(F.transform("want", cut)).alias("w")).select("node", "w.*")
+    hulls = materialize(hulls.select("cls", "node", "at", "open", "hot", "bytes"), "bytes")
     spans.append(_few(hulls.where("not hot").drop("hot"), length, window))
     spans += _many(hulls.where("hot").drop("hot"), length, window)
 
@@ -286,19 +292,21 @@ def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
         return []
     # Dealt out anew: the members of one class may lie in a few files, and each becomes up to window / RANGE rows.
     hulls = hulls.repartition("cls", "node", "at")
-    left, low = _left().cast("int"), (F.lit(length) - _right()).cast("int")
-    ranges = hulls.withColumn("j", F.explode(F.sequence(F.floor(low / RANGE).cast("int"), F.floor(left / RANGE).cast("int"))))
-    a, b = F.col("j") * RANGE, F.least(F.col("j") * RANGE + RANGE - 1, F.lit(window - 1))
-    ranges = ranges.withColumns({"s1": F.greatest(a, low), "s2": F.least(b, left)})
-    piece = lambda before, size: F.substring(F.col("bytes"), left - before + 1, size)
-    common = F.xxhash64(F.col("j"), piece(a, F.lit(length) - (b - a)))
-    whole = F.xxhash64("s1", "s2", piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1")))
-    two = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), ["cls", "key"], "ranges")
-    spans = [two.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end"))]
-
-    last = two.where("rep").select("cls", "node", "at", "s1", "s2", (F.col("open") & ~F.col("shared")).alias("open"))
-    last = last.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
-    last = last.withColumn("s", F.explode(F.sequence("s1", "s2")))
+    piece = lambda before, size: F.substring(F.col("bytes"), _left().cast("int") - before + 1, size)
+    now = hulls.select("cls", "node", "at", "open", "bytes", (F.lit(length) - _right()).cast("int").alias("s1"), _left().cast("int").alias("s2"))
+    spans = []
+    for size in RANGES:
+        ranges = now.withColumn("j", F.explode(F.sequence(F.floor(F.col("s1") / size).cast("int"), F.floor(F.col("s2") / size).cast("int"))))
+        a, b = F.col("j") * size, F.least(F.col("j") * size + size - 1, F.lit(window - 1))
+        ranges = ranges.withColumns({"s1": F.greatest(a, "s1"), "s2": F.least(b, "s2")})
+        common = F.xxhash64(F.col("j"), piece(a, F.lit(length) - (b - a)))
+        whole = F.xxhash64("s1", "s2", piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1")))
+        ranked = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), ["cls", "key"], "ranges")
+        spans.append(ranked.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end")))
+        left = ranked.where("rep").select("cls", "node", "at", "s1", "s2", (F.col("open") & ~F.col("shared")).alias("open"))
+        now = left.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
+
+    last = now.withColumn("s", F.explode(F.sequence("s1", "s2")))
     last = last.select("cls", F.xxhash64("s", piece(F.col("s"), F.lit(length))).alias("hull"), "node", "at", "s", "open")
     last = materialize(last, "strings")
     occ = F.xxhash64("node", "at")
@@ -307,6 +315,49 @@ def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
     return [*spans, three.select("node", (_position() - F.col("s")).alias("start"), (_position() - F.col("s") + length).alias("end"))]
 
 
+def _copies(docs: DataFrame, length: int) -> DataFrame:
+    """(node, start, end): texts that more than one row has, as a whole."""
+    copies = docs.groupBy("node").agg(F.count("*").alias("n"), F.min(F.octet_length("text")).cast("long").alias("end"))
+    return copies.where((F.col("n") > 1) & (F.col("end") >= length)).select("node", F.lit(0).cast("long").alias("start"), "end")
+
+
+def doubled_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """As ``repeated_spans``, by prefix doubling over every byte position.
+
+    A position's first rank is the hash of its first bytes, an odd share of
+    ``length`` that doubles to it. Positions are sorted by rank, those of a rank
+    of its own are done; a position's next rank is the pair of its own and that
+    of the position one prefix on, until the prefix has ``length`` bytes.
+    """
+    step = length
+    while step % 2 == 0 and step > 8:
+        step //= 2
+    first = step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].cast(pa.large_binary()), strict=True):
+                data = text.as_py()
+                for at in range(0, len(data) - first + 1, SEGMENT):
+                    n = min(SEGMENT, len(data) - first + 1 - at)
+                    ranks = np.array([h(data[i : i + first]) for i in range(at, at + n)], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(np.arange(at, at + n)), pa.array(ranks)], names=["node", "at", "rank"])
+
+    some = docs.where(F.octet_length("text") >= length).dropDuplicates(["node"])
+    ranks = materialize(map_arrow(some.select("node", "text"), run, "node long, at long, rank long"), "ranks")
+    while True:
+        often = materialize(ranks.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "often")
+        ranks = materialize(ranks.join(often, "rank", "left_semi"), "ranks")
+        if step >= length:
+            break
+        ahead = ranks.select("node", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
+        ranks = ranks.join(ahead, ["node", "at"]).select("node", "at", F.xxhash64("rank", "next").alias("rank"))
+        step *= 2
+    found = ranks.select("node", F.col("at").alias("start"), (F.col("at") + length).alias("end")).unionByName(_copies(docs, length))
+    return materialize(found.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+
+
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of the union."""
     runs: list[tuple[int, int]] = []
@@ -339,15 +390,10 @@ def at_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def _named(df: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.struct(*df.columns).alias("row"), F.xxhash64(text).alias("node"), text.alias("text"))
-
-
 def _applied(df: DataFrame, text_col: str, length: int, keep: list[str], fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
-    named = _named(df, text_col)
-    spans = repeated_spans(named.select("node", "text"), length)
-    joined = named.join(spans, "node", "left").select(*[F.col(f"row.{c}").alias(f"__c{i}") for i, c in enumerate(keep)], "text", "spans")
+    rows = named(df, F.coalesce(F.col(text_col), F.lit("")), row=F.struct(*df.columns))
+    spans = repeated_spans(rows.select("node", "text"), length)
+    joined = rows.join(spans, "node", "left").select(*[F.col(f"row.{c}").alias(f"__c{i}") for i, c in enumerate(keep)], "text", "spans")
     schema = T.StructType([*[T.StructField(f"__c{i}", df.schema[c].dataType) for i, c in enumerate(keep)], *[T.StructField(f"__f_{n}", t) for n, t, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
