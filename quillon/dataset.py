@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.callables import Function, batch_of, elements, expression, function, is_expression, run_partitions, schema_of
+from .functions.callables import Function, batch_of, elements, expression, function, is_expression, is_function, run_partitions, schema_of
 from .operators import folds, index, keyed, ordering, partitioning, sampling
 
 #: Cache levels: none, as the session's default, deserialised, serialised, disk.
@@ -174,7 +174,7 @@ class Dataset:
 
     def sort_by(self, by, ascending: bool = True, partitions: int | None = None) -> Dataset:
         """By columns (one or a list), or by a Python less-than of two elements."""
-        if callable(by) and not isinstance(by, Column):
+        if is_function(by):
             return self._new(ordering.sort_by(self.df, by, ascending, partitions, self.variables))
         by = by if isinstance(by, (list, tuple)) else [by]
         return self._new(ordering.sort(self.df, [expression(b) for b in by], ascending, partitions))
@@ -186,7 +186,7 @@ class Dataset:
         return self._extreme(n, by, False)
 
     def _extreme(self, n: int, by, largest: bool) -> list:
-        if callable(by) and not isinstance(by, Column):
+        if is_function(by):
             return ordering.top_by(self.df, n, by, largest, self.variables)
         return self._new(self.top_frame(n, by, largest)).collect()
 

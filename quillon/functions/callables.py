@@ -80,8 +80,16 @@ def running(f: Function, variables: dict | None = None):
 
 def function(f, arity: int) -> Function:
     """A Function, or what has its three methods, as it is; a plain one with one parameter more than ``arity`` gets the context as its last."""
-    whole = isinstance(f, Function) or all(callable(getattr(f, n, None)) for n in ("before", "call", "after"))
-    return f if whole else _Plain(f, arity)
+    return f if _whole(f) else _Plain(f, arity)
+
+
+def _whole(f) -> bool:
+    return isinstance(f, Function) or not isinstance(f, Column) and all(callable(getattr(f, n, None)) for n in ("before", "call", "after"))
+
+
+def is_function(f) -> bool:
+    """Whether ``f`` is Python to be called, not an expression."""
+    return not is_expression(f) and (_whole(f) or callable(f))
 
 
 def is_expression(f) -> bool:
