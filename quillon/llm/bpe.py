@@ -8,7 +8,8 @@ Which pairs are compatible is memoised from the merges. Decoding slices one
 buffer by an offset table.
 
 The vocabulary file is read on the driver (or any worker that has it) and is
-broadcast: a few MB, whatever the corpus. Defined results: a null text counts
+broadcast: a few MB, whatever the corpus; a file whose normalizer, splitting,
+model or decoder this encoder does not implement is an error. Defined results: a null text counts
 as empty (no ids, empty decoded text); texts are never cut; the strings of
 special tokens in a text become these tokens, as in the tokenizers library;
 other columns pass through ``encode`` unless named as an output.
@@ -35,6 +36,21 @@ from ._common import map_arrow, worker_cache
 CACHE = 200_000
 
 
+# The settings of a vocabulary file that this encoder implements; others are an error.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 class Memo(dict):
     """``make(key)``, remembered in two generations of at most ``size`` entries."""
 
@@ -70,8 +86,11 @@ class Vocabulary:
         spec = json.loads(file)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        if not self.suffix or spec.get("decoder"):
-            raise ValueError("expected a vocabulary with word ends and no decoder")
+        differs = [k for k, v in SETTINGS.items() if spec.get(k) != v]
+        differs += [k for k, v in MODEL.items() if (model.get(k) or v) != v]
+        differs += ["added_tokens"] * any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        if not self.suffix or differs:
+            raise ValueError(f"this encoder does not follow the vocabulary's {differs or 'words without an end'}")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ids = model["vocab"]
         letters = byte_letters()

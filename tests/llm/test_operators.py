@@ -704,6 +704,17 @@ def test_bpe_equals_the_library(odd, none):
     assert {r["doc_id"]: r["decoded"] for r in back.collect()}[4] == ""
 
 
+def test_other_vocabularies_are_refused():
+    import json
+
+    spec = json.load(open(WORD))
+    spec["normalizer"]["normalizers"].pop()
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Vocabulary(json.dumps(spec).encode())
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(open(BYTE, "rb").read())
+
+
 # -- mixing
 
 
