@@ -114,6 +114,14 @@ def test_op8(spark):
         assert {r[0]: r[1:] for r in db.sql(queries.ORACLE_SQL["op8_mixing"]).fetchall()} == {i: tuple(r)[1:5] for i, r in got.items()}
 
 
+@pytest.mark.parametrize("name", ["edited_texts", "rule_measures"])
+def test_parts_that_sql_expresses(spark, name):
+    with duckdb.connect() as db:
+        db.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+        want, got = db.sql(queries.ORACLE_SQL[name]), queries.QUERIES[name](spark, DIR)
+        assert sorted(want.fetchall()) == sorted(tuple(r) for r in got.select(*want.columns).collect())
+
+
 def brute_codes(tk, text):
     ids = tk.encode(text or "", add_special_tokens=False).ids
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tk.decode(ids, skip_special_tokens=False).encode()).hexdigest()
