@@ -138,6 +138,12 @@ class Session:
 
         execute(self, function, tasks)
 
+    def run_command(self, *command: str, tasks: int | None = None) -> None:
+        """Run a program once in each of so many tasks (one for each executor) at the same time; a failing one is an error."""
+        import subprocess
+
+        self.execute(lambda _: subprocess.run(command, check=True), tasks)
+
     def import_dataset(self, data):
         """The dataset as one of this session: partitions are already shared."""
         from .dataset import Dataset

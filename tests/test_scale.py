@@ -129,6 +129,13 @@ def test_tasks_meet_and_tell_each_other(session, tmp_path):
     assert {p.read_text() for p in tmp_path.iterdir()} == {"m0,m1,m2"}
 
 
+def test_commands_run_in_tasks(session, tmp_path):
+    session.run_command("sh", "-c", f"mktemp {tmp_path}/ran.XXXXXX", tasks=2)
+    assert len(list(tmp_path.iterdir())) == 2
+    with pytest.raises(Exception, match="CalledProcessError"):
+        session.run_command("false", tasks=1)
+
+
 def test_functions_by_path(session, tmp_path):
     (tmp_path / "some_functions_of_mine.py").write_text("__all__ = ['plus', 'only']\ndef plus(data, n):\n    return data.map(f'value + {n}')\ndef only(x):\n    return x > 3\n")
     where = str(tmp_path / "some_functions_of_mine.py")
