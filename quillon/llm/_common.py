@@ -4,15 +4,13 @@ native ``let`` binding and names of texts."""
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.callables import ship
+from ..shared import new_folder
 
 #: The word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,24 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where a session names none, a temporary one is set if all runs in one
-    process on one machine; on a cluster it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quillon.shared.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("quillon.shared.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     _forget_at_exit(spark, path)
     return path
 
