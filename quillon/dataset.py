@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .functions.callables import Function, batch_of, elements, expression, function, is_expression, is_function, run_partitions, schema_of
 from .operators import folds, index, keyed, ordering, partitioning, sampling
+from .shared import computed_once
 
 #: Cache levels: none, as the session's default, deserialised, serialised, disk.
 NO_CACHE, PRESERVE, MEMORY, RAW_MEMORY, DISK = range(5)
@@ -332,7 +333,7 @@ class Dataset:
 
     def checkpoint(self) -> Dataset:
         """A copy in the shared checkpoint folder, which lost executors do not touch."""
-        return self._new(self.df.checkpoint())
+        return self._new(computed_once(self.df))
 
     # -- sinks
 

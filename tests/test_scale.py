@@ -136,6 +136,35 @@ def test_commands_run_in_tasks(session, tmp_path):
         session.run_command("false", tasks=1)
 
 
+def test_files_and_libraries_reach_tasks(session, tmp_path):
+    from pyspark import SparkFiles
+
+    (tmp_path / "sent.txt").write_text("seven")
+    (tmp_path / "lib_of_mine.py").write_text("def times(x):\n    return 7 * x\n")
+    session.send_file(str(tmp_path / "sent.txt"))
+    session.load_library(str(tmp_path / "lib_of_mine.py"))
+
+    def read(x):
+        import lib_of_mine
+
+        with open(SparkFiles.get("sent.txt")) as f:
+            return f"{f.read()} {lib_of_mine.times(x)}"
+
+    assert session.parallelize([1, 2], 2).map(read, "string").collect() == ["seven 7", "seven 14"] and session.executors() == 1
+
+
+def test_names_caches_and_checkpoints(session, spark):
+    from quillon.dataset import DISK, MEMORY, NO_CACHE, RAW_MEMORY
+
+    data = session.parallelize([3, 1, 2], 2)
+    assert data.set_name("numbers").df.select("numbers.value").count() == 3
+    for level in (MEMORY, RAW_MEMORY, DISK):
+        assert data.persist(level).count() == 3 and data.df.storageLevel.useDisk == (level != RAW_MEMORY)
+        assert not data.persist(NO_CACHE).df.is_cached
+    kept = data.sort().checkpoint()
+    assert kept.collect() == [1, 2, 3] and "LogicalRDD" in kept.df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_functions_by_path(session, tmp_path):
     (tmp_path / "some_functions_of_mine.py").write_text("__all__ = ['plus', 'only']\ndef plus(data, n):\n    return data.map(f'value + {n}')\ndef only(x):\n    return x > 3\n")
     where = str(tmp_path / "some_functions_of_mine.py")
