@@ -31,21 +31,22 @@ def text_file(session, path: str, min_partitions: int = 1) -> Dataset:
 def by_file(df, *columns):
     """``df`` of a file reader with a partition for each file, in the order of the files' paths.
 
-    The driver gets the paths. Rows go where their file's number says, so
-    nothing is sampled or sorted over the whole.
+    The driver has the list of files anyway. Rows go where their file's number
+    says, so nothing is read twice, sampled or sorted over the whole.
     """
-    spark, number = df.sparkSession, F.monotonically_increasing_id()
-    tagged = df.select(*columns, F.col("_metadata.file_path").alias("__path"), number.alias("__number"))
-    paths = sorted(r[0] for r in df.select(F.col("_metadata.file_path").alias("p")).distinct().collect())
-    if not paths:
+    # file:/x and file:///x are one path, as any scheme's are here.
+    files = sorted(re.sub(r"^(\w+):/+", r"\1:/", f) for f in df.inputFiles())
+    if not files:
         return df.select(*columns)
-    small = spark.createDataFrame(list(enumerate(paths)), "__file int, __path string")
-    placed = tagged.join(F.broadcast(small), "__path").repartitionById(len(paths), F.col("__file"))
+    small = df.sparkSession.createDataFrame(list(enumerate(files)), "__file int, __path string")
+    path = F.regexp_replace(F.col("_metadata.file_path"), r"^(\w+):/+", "$1:/")
+    tagged = df.select(*columns, path.alias("__path"), F.monotonically_increasing_id().alias("__number"))
+    placed = tagged.join(F.broadcast(small), "__path").repartitionById(len(files), F.col("__file"))
     return placed.sortWithinPartitions("__number").select(*columns)
 
 
 def partition_text_file(session, path: str) -> Dataset:
-    """Part files of a folder, in the order of their names, a partition for each (empty ones have none)."""
+    """Part files of a folder, in the order of their names, a partition for each."""
     return Dataset(by_file(session.spark.read.option("lineSep", "\n").text(path), "value"), session)
 
 

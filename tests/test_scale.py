@@ -120,6 +120,14 @@ def test_a_partition_for_each_part_file(session, tmp_path):
     assert list(text.count_by_partition().values()) == [200] * 5
 
 
+def test_odd_file_names_and_empty_files(session, tmp_path):
+    for i, n in enumerate(["a b", "c%20d", "é+x", "p#q", "zz"]):
+        (tmp_path / f"{n}.txt").write_text(f"{n}1\n{n}2\n" if i < 4 else "")
+    got = session.partition_text_file(str(tmp_path))
+    names = sorted(["a b", "c%20d", "é+x", "p#q"], key=lambda n: n.replace("%", "%25").replace(" ", "%20").replace("#", "%23"))
+    assert got.partitions() == 5 and got.collect() == [f"{n}{k}" for n in names for k in (1, 2)]
+
+
 def test_tasks_meet_and_tell_each_other(session, tmp_path):
     def work(i, context):
         context.barrier()
