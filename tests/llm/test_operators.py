@@ -65,6 +65,19 @@ def test_components_against_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+@pytest.mark.parametrize("order", ["up", "shuffled", "hub"])
+def test_components_take_few_rounds(spark, order, monkeypatch):
+    ids = list(range(2500))
+    if order == "shuffled":
+        random.Random(2).shuffle(ids)
+    edges = [(0, i) for i in ids[1:]] if order == "hub" else list(zip(ids, ids[1:]))
+    rounds, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: rounds.append(label) or real(df, label))
+    got = components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert len(got) == 2500 and {r["component"] for r in got} == {0}
+    assert rounds.count("edges") <= (2 if order == "hub" else 12)
+
+
 def near_fingerprints(n, seed):
     rng = random.Random(seed)
     out = [0, (1 << 64) - 1]
