@@ -15,17 +15,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     and moves every node to the least one at two steps at most, then renames
     the ends of edges and drops loops and repeats. A star is gone in one round.
     On a chain, whatever its numbering, a node is the least of its surroundings
-    once in three or five, so rounds are logarithmic in the longest path. The
-    edges of a round are written, which cuts the lineage; moves follow from
-    them, and those of all rounds, each a fraction of the one before, are
-    joined up at the end. Nothing but the fact that edges are left reaches the
+    once in three or five, so rounds are logarithmic in the longest path. Moves
+    and edges of a round are written, which cuts the lineage; the moves of all
+    rounds, each a fraction of the one before, are joined up at the end. Nothing but the fact that edges are left reaches the
     driver. Null ends, loops and repeated edges are ignored; no edges give no
     rows. ``edges`` is read several times, so it should be a table.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     moves: list[DataFrame] = []
     while not e.isEmpty():
-        moves.append(_moved(e, len(moves)))
+        moves.append(materialize(_moved(e, len(moves)), "moves"))
         at_u, at_v = moves[-1], moves[-1].select(F.col("u").alias("v"), F.col("p").alias("pv"))
         renamed = e.join(at_u, "u").join(at_v, "v").select(F.least("p", "pv").alias("u"), F.greatest("p", "pv").alias("v"))
         e = materialize(renamed.where("u <> v").distinct(), "edges")

@@ -83,7 +83,7 @@ class Model:
         self.vectors = self.latent(x)
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        v = np.log1p(x.astype(np.float32)) * self.idf
+        v = np.log1p(x, dtype=np.float32) * self.idf
         for a, b in ((0, WORDS), (WORDS, WORDS + SHAPES)):
             v[:, a:b] /= np.maximum(np.linalg.norm(v[:, a:b], axis=1, keepdims=True), 1e-9)
         return v
@@ -112,12 +112,17 @@ def fit(sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts(t.as_py() or "").astype("<u4").tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["weight"], pa.array(rows, pa.binary())], names=["id", "label", "weight", "x"])
+            rows = [counts(t.as_py() or "") for t in batch["text"]]
+            cells = [np.flatnonzero(x) for x in rows]
+            cols = [pa.array([c.astype("<u2").tobytes() for c in cells], pa.binary()), pa.array([x[c].astype("<u4").tobytes() for x, c in zip(rows, cells, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["weight"], *cols], names=["id", "label", "weight", "cells", "n"])
 
     taken = sample.select(F.col(id_col).cast("string").alias("id"), "label", "weight", F.col(text_col).alias("text"))
-    rows = sorted(map_arrow(taken, run, "id string, label int, weight double, x binary").collect(), key=lambda r: (r["id"], r["label"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], "<u4") for r in rows]).reshape(len(rows), WORDS + SHAPES)
+    rows = map_arrow(taken, run, "id string, label int, weight double, cells binary, n binary").collect()
+    rows.sort(key=lambda r: (r["id"], r["label"], r["cells"], r["n"]))
+    x = np.zeros((len(rows), WORDS + SHAPES), np.float32)
+    for row, r in zip(x, rows, strict=True):
+        row[np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["n"], "<u4")
     return Model(x, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows]))
 
 
