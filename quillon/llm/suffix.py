@@ -45,8 +45,8 @@ from ._common import map_arrow, materialize, named, once, worker_cache
 LENGTH, PREFIX = 200, 48
 #: Strings of the ranges that hot classes are ranked by, before single ones.
 RANGES = (30, 6)
-#: Classes of more hulls than this are ranked by groupings alone, others in one task each.
-HOT = 256
+#: Classes of more hulls than this are ranked by groupings alone, others in one task each (some 10 KB a hull).
+HOT = 2000
 SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _FULL = np.uint64((1 << 64) - 1)
