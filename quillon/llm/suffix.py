@@ -15,7 +15,7 @@ Rank 3, for hulls at the edge of a repeat: each string. The hulls of a class
 meet in one task if they are ``hot`` at most. Of larger classes (a line that a
 third of all documents hold) ranges of 30 strings are ranked first, by the
 bytes that a range has in common (a unique one is done), then as a whole, then
-ranges of 6 of those that are left, and only then single strings, all by
+ranges of 6 and of 2 of those that are left, and at last single strings, all by
 groupings with partial aggregation: a group tells by its lowest and highest
 occurrence whether it has more than one.
 Equal texts are one; they are repeats of each other as a whole.
@@ -44,7 +44,7 @@ from ._common import map_arrow, materialize, named, once, worker_cache
 
 LENGTH, PREFIX = 200, 48
 #: Strings of the ranges that hot classes are ranked by, before single ones.
-RANGES = (30, 6)
+RANGES = (30, 6, 2)
 #: Classes of more hulls than this are ranked by groupings alone, others in one task each (some 10 KB a hull).
 HOT = 2000
 SEGMENT = 1 << 20
