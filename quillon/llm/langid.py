@@ -125,7 +125,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(keys)), pa.array(keys), pa.array([found[k] for k in keys])], names=["lang", "feature", "n"])
 
-    counted = map_arrow(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, feature string, n long")
+    # The sample is bounded, so a language meets in one task and each of its features is one row.
+    given = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).repartition(docs.sparkSession.sparkContext.defaultParallelism, "lang")
+    counted = map_arrow(given, run, "lang string, feature string, n long")
     by = materialize(counted.groupBy("feature", "lang").agg(F.sum("n").alias("n")), "features")
     langs = [r["lang"] for r in by.select("lang").distinct().orderBy("lang").collect()]
     each = [F.sum(F.when(F.col("lang") == l, F.col("n")).otherwise(0)).alias(f"n{i}") for i, l in enumerate(langs)]
