@@ -240,7 +240,8 @@ def links(fps: DataFrame, distance: int = 3, hot: int = HOT) -> DataFrame:
         extra = _hot_links(members, distance)
         left, right = (x.join(many, "key", "left_anti") for x in (left, right))
     l, r = left.select("key", F.col("fp").alias("src")), right.select("key", F.col("fp").alias("dst"))
-    met = l.join(r, "key").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance))
+    # Sides grow to many rows a fingerprint, which Spark's estimates miss: by them the driver would broadcast a whole side.
+    met = l.join(r.hint("merge"), "key").where((F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= distance))
     found = met.select("src", "dst")
     return (found.unionByName(extra) if extra is not None else found).distinct()
 

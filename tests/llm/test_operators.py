@@ -117,6 +117,14 @@ def test_golay_keys_lose_no_link(spark, hot, monkeypatch):
     assert sizes == want
 
 
+@pytest.mark.parametrize("hot", [512, 1])
+def test_no_side_of_keys_is_broadcast(spark, hot):
+    df = spark.createDataFrame([(int(x),) for x in near_fingerprints(300, 4)], "fp long")
+    plan = simhash.links(df, hot=hot)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [key" in line and "Inner" in line and "bit_count" in line]
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
 def test_every_pair_within_three_bits_meets():
     rng = np.random.default_rng(0)
     a = rng.integers(-(1 << 63), (1 << 63) - 1, 3000, np.int64)
