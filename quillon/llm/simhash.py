@@ -11,7 +11,9 @@ One side gives its own indices, the other side's neighbourhood meets them, and
 each pair that meets is verified.
 
 ``components`` links fingerprints at ``3`` bits or fewer. ``near_duplicates``
-is for shingle similarity, which fingerprints cannot decide. It is exact up to
+is for shingle similarity, which fingerprints cannot decide alone: texts that
+meet by their fingerprints are candidates, and so are those that share a rare
+shingle, which makes it exact up to
 64-bit hash collisions: in any one order of all shingles, two sets at a
 similarity of t have one in common among the first n - ceil(t n) + 1 of each, so
 these are keys. The order has shingles that are frequent in a sample last, so
@@ -257,6 +259,16 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _near_bits(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, from (node, size, fp): texts whose fingerprints differ in 3 bits at most, one of the smallest standing for those of its fingerprint."""
+    one = rows.groupBy("fp").agg(F.min(F.struct("size", "node")).alias("m")).select("fp", F.col("m.node").alias("first"))
+    one = materialize(one, "fingerprints")
+    same = rows.join(one, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    end = lambda fp, x: one.select(F.col("fp").alias(fp), F.col("first").alias(x))
+    met = links(one.select("fp")).join(end("src", "x"), "src").join(end("dst", "y"), "dst").select("x", "y")
+    return same.unionByName(met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that are in three or more of about ``COUNTED`` texts, and in how many."""
 
@@ -337,17 +349,21 @@ def _possible_pairs(pairs: DataFrame, signatures: DataFrame, similarity: float)
 
 
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, size, sig, keys) from (node, text)."""
+    """(node, size, fp, sig, keys) from (node, text)."""
     frequent = _frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch["text"]]
+            fps, sets = [], []
+            for t in batch["text"]:
+                h = shingle_hashes(t.as_py(), words)
+                fps.append(_signed(simhash(h)))
+                sets.append(np.unique(h))
             keys = [_prefix(s, frequent, similarity).view(np.int64) if len(s) else [] for s in sets]
-            cols = [batch["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_signature, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "sig", "keys"])
+            cols = [batch["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.int64()), pa.array(map(_signature, sets), pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "fp", "sig", "keys"])
 
-    return map_arrow(docs.select("node", "text"), run, "node long, size long, sig binary, keys array<long>")
+    return map_arrow(docs.select("node", "text"), run, "node long, size long, fp long, sig binary, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -478,8 +494,10 @@ def _crowded_links(members: DataFrame, docs: DataFrame, words: int, similarity:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) from (node, text) rows, a text's node being the same in all its copies: texts whose word shingles have a Jaccard similarity of ``similarity`` or more are linked.
 
-    All groups are found, as if every pair had been compared. Two texts alike
-    share a key; each key's texts end in one group, or every pair of them that
+    All groups are found, as if every pair had been compared. Texts that meet by
+    the Golay keys of their fingerprints are candidates; wordless texts, which
+    have no shingles, are linked by these alone. Two other texts alike share a
+    shingle as key; each key's texts end in one group, or every pair of them that
     is in different groups has been verified. So the work is linear in the size
     of a group around a hub, and grows with the square only of texts that share
     a crowded key, are in different groups and stay apart.
@@ -505,7 +523,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     hubs = crowded.groupBy("key").agg(F.max(F.struct("w", "node")).alias("hub"))
     hub = crowded.join(hubs, "key").where("node <> hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
     to_hub = hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    pairs = met.unionByName(to_hub).groupBy("a", "b").agg(F.count("*").alias("alike"))
+    by_bits = _near_bits(prefixes.select("node", "size", "fp"))
+    pairs = met.unionByName(to_hub).unionByName(by_bits).groupBy("a", "b").agg(F.count("*").alias("alike"))
     pairs = materialize(_possible_pairs(pairs, signatures, similarity), "pairs")
     ends = F.explode(F.array("a", "b")).alias("node")
 
@@ -541,7 +560,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``df``, one of each group of near-duplicates: that of the smallest id (nulls last).
 
-    Equal texts are one node (null texts and empty ones are equal). Of rows with the same id and text one stays.
+    Equal texts are one node (null texts and empty ones are equal), texts without words one group. Of rows with the same id and text one stays.
     """
     cols = df.columns
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -254,6 +254,26 @@ def test_near_duplicates_against_brute_force(spark, tile, monkeypatch):
     assert {r["doc_id"] for r in simhash.deduplicated(df).collect()} == want
 
 
+def test_near_duplicates_take_the_steps_of_simhash(spark):
+    texts = ["", " ", "\n\t", "  \n", *hard_near_texts()[:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.deduplicated(df).collect()} == set(brute_near_groups(texts))
+    fps = [(i, len(t), f - (1 << 64) if (f := brute_simhash(t, 5)) >> 63 else f) for i, t in enumerate(texts)]
+    got = components.connected_components(simhash._near_bits(spark.createDataFrame(fps, "node long, size long, fp long")), "a", "b").collect()
+    near = lambda i: [j for j in range(len(fps)) if ((fps[i][2] ^ fps[j][2]) & (1 << 64) - 1).bit_count() <= 3]
+    want = {}
+    for i in range(len(fps)):
+        if i not in want:
+            want[i], todo = i, [i]
+            while todo:
+                for j in near(todo.pop()):
+                    if j not in want:
+                        want[j] = i
+                        todo.append(j)
+    several = collections.Counter(want.values())
+    assert {r["node"]: r["component"] for r in got} == {i: c for i, c in want.items() if several[c] > 1}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = simhash.deduplicated(odd.withColumn("component", F.lit(1)).withColumn("key", F.lit("x")))
     found = [(r["doc_id"], r["text"]) for r in got.collect()]
