@@ -17,7 +17,8 @@ third of all documents hold) ranges of 30 strings are ranked first, by the
 bytes that a range has in common (a unique one is done), then as a whole, then
 ranges of 6 and of 2 of those that are left, and at last single strings, all by
 groupings with partial aggregation: a group tells by its lowest and highest
-occurrence whether it has more than one.
+occurrence whether it has more than one. Ranges of equal common bytes are a
+class of their own, which meets in one task as soon as ``hot`` are left at most.
 Equal texts are one; they are repeats of each other as a whole.
 
 ``doubled_spans`` is prefix doubling over all positions, for texts that leave
@@ -276,8 +277,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
 
     hulls = texts.select("node", F.explode(F.transform("want", cut)).alias("w")).select("node", "w.*")
     hulls = materialize(hulls.select("cls", "node", "at", "open", "hot", "bytes"), "bytes")
-    spans.append(_few(hulls.where("not hot").drop("hot"), length, window))
-    spans += _many(hulls.where("hot").drop("hot"), length, window)
+    more, small = _many(hulls.where("hot").drop("hot"), length, window, hot)
+    few = hulls.where("not hot").drop("hot")
+    for x in small:
+        few = few.unionByName(x)
+    spans += [_few(few, length, window), *more]
 
     every = spans[0]
     for x in spans[1:]:
@@ -286,15 +290,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, prefix: int | None = N
     return got
 
 
-def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
-    """The same for classes of any size: ranges of strings and then single ones, each a group that is summed up before it is shuffled."""
+def _many(hulls: DataFrame, length: int, window: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The same for classes of any size: ranges of strings and then single ones, each a group that is summed up before it is shuffled.
+
+    Second: ranges in classes of ``hot`` at most, as shorter hulls for ``_few``.
+    """
     if hulls.isEmpty():
-        return []
+        return [], []
     # Dealt out anew: the members of one class may lie in a few files, and each becomes up to window / RANGE rows.
     hulls = hulls.repartition("cls", "node", "at")
     piece = lambda before, size: F.substring(F.col("bytes"), _left().cast("int") - before + 1, size)
     now = hulls.select("cls", "node", "at", "open", "bytes", (F.lit(length) - _right()).cast("int").alias("s1"), _left().cast("int").alias("s2"))
-    spans = []
+    spans, few = [], []
     for size in RANGES:
         ranges = now.withColumn("j", F.explode(F.sequence(F.floor(F.col("s1") / size).cast("int"), F.floor(F.col("s2") / size).cast("int"))))
         a, b = F.col("j") * size, F.least(F.col("j") * size + size - 1, F.lit(window - 1))
@@ -303,8 +310,12 @@ def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
         whole = F.xxhash64("s1", "s2", piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1")))
         ranked = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), ["cls", "key"], "ranges")
         spans.append(ranked.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end")))
-        left = ranked.where("rep").select("cls", "node", "at", "s1", "s2", (F.col("open") & ~F.col("shared")).alias("open"))
-        now = left.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
+        left = ranked.where("rep").select("cls", "key", "node", "at", "s1", "s2", "n", (F.col("open") & ~F.col("shared")).alias("open"))
+        left = left.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
+        at = F.shiftleft(_position(), 32) + F.shiftleft(F.col("s2").cast("long"), 16) + (F.lit(length) - F.col("s1")).cast("long")
+        shorter = piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1"))
+        few.append(left.where(F.col("n") <= hot).select(F.xxhash64("cls", "key").alias("cls"), "node", at.alias("at"), "open", shorter.alias("bytes")))
+        now = left.where(F.col("n") > hot).drop("key", "n")
 
     last = now.withColumn("s", F.explode(F.sequence("s1", "s2")))
     last = last.select("cls", F.xxhash64("s", piece(F.col("s"), F.lit(length))).alias("hull"), "node", "at", "s", "open")
@@ -312,7 +323,7 @@ def _many(hulls: DataFrame, length: int, window: int) -> list[DataFrame]:
     occ = F.xxhash64("node", "at")
     shared = last.groupBy("cls", "hull").agg(F.min(occ).alias("lo"), F.max(occ).alias("hi")).where("lo <> hi").select("cls", "hull")
     three = last.where("open").join(shared, ["cls", "hull"], "left_semi")
-    return [*spans, three.select("node", (_position() - F.col("s")).alias("start"), (_position() - F.col("s") + length).alias("end"))]
+    return [*spans, three.select("node", (_position() - F.col("s")).alias("start"), (_position() - F.col("s") + length).alias("end"))], few
 
 
 def _copies(docs: DataFrame, length: int) -> DataFrame:

@@ -318,6 +318,34 @@ def test_repeats_against_brute_force(spark, hot, length, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_removal(texts, length)
 
 
+@pytest.mark.parametrize("hot", [2, 5, 12])
+def test_small_ranges_of_hot_classes_are_held_whole(spark, hot, monkeypatch):
+    rng = random.Random(hot)
+    word = lambda k: "".join(rng.choice("abcdé ") for _ in range(k))
+    line = word(90)  # in every text; groups of 4 share more around it, so that few ranges meet
+    around = [(word(100), word(100)) for _ in range(10)]
+    texts = [word(60) + a[rng.randrange(60) :] + line + b[: rng.randrange(40, 100)] + word(60) for a, b in around for _ in range(4)]
+    texts += repeat_corpus(hot, 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    real, write, held = suffix.repeated_spans, suffix.materialize, collections.defaultdict(list)
+
+    def written(df, label):
+        out = write(df, label)
+        held[label].append(out)
+        return out
+
+    monkeypatch.setattr(suffix, "materialize", written)
+    monkeypatch.setattr(suffix, "repeated_spans", lambda docs, n: real(docs, n, hot=hot))
+    got = {r[0]: tuple(r[1:]) for r in suffix.report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removal(texts, 200)
+    assert held["ranges"][0].count() > 0
+    for k, x in enumerate(held["ranges"]):  # what a rank has in small groups goes to no later one
+        small = x.where(f"rep and n <= {hot}").select("node", "at").distinct()
+        large = x.where(f"rep and n > {hot}").select("node", "at").distinct()
+        later = [y.select("node", "at") for y in [*held["ranges"][k + 1 :], *held["strings"]]]
+        assert all(y.join(small.subtract(large), ["node", "at"]).isEmpty() for y in later)
+
+
 @pytest.mark.parametrize("length", [200, 64])
 def test_doubling_against_brute_force(spark, length, monkeypatch):
     texts = repeat_corpus(length, 30)
