@@ -308,7 +308,9 @@ def _many(hulls: DataFrame, length: int, window: int, hot: int) -> tuple[list[Da
         ranges = ranges.withColumns({"s1": F.greatest(a, "s1"), "s2": F.least(b, "s2")})
         common = F.xxhash64(F.col("j"), piece(a, F.lit(length) - (b - a)))
         whole = F.xxhash64("s1", "s2", piece(F.col("s2"), F.lit(length) + F.col("s2") - F.col("s1")))
-        ranked = _ranked(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), ["cls", "key"], "ranges")
+        # Written once: ranking reads them twice.
+        cut = materialize(ranges.select("cls", common.alias("key"), whole.alias("hull"), "node", "at", "open", "s1", "s2"), "cut")
+        ranked = _ranked(cut, ["cls", "key"], "ranges")
         spans.append(ranked.where("shared and open").select("node", (_position() - F.col("s2")).alias("start"), (_position() - F.col("s1") + length).alias("end")))
         left = ranked.where("rep").select("cls", "key", "node", "at", "s1", "s2", "n", (F.col("open") & ~F.col("shared")).alias("open"))
         left = left.join(hulls.select("cls", "node", "at", "bytes"), ["cls", "node", "at"])
