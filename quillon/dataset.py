@@ -420,8 +420,8 @@ class PairDataset(Dataset):
         return self._new(keyed.aggregate_by_key(self.df, zero, seq, comb, schema, partitions, self.variables))
 
     def fold_by_key(self, zero, f, schema=None, partitions: int | None = None, local: bool = True) -> PairDataset:
-        schema = schema or self.df.schema["value"].dataType
-        return self._new(keyed.aggregate_by_key(self.df, zero, f, f if local else None, schema, partitions, self.variables))
+        """``f`` is associative and ``zero`` neutral, as in ``fold``; unless ``local``, values are shuffled before they are folded."""
+        return self._new(keyed.fold_by_key(self.df, zero, f, schema, partitions, local, self.variables))
 
     def join(self, other: PairDataset, partitions: int | None = None, how: str = "inner", null_safe: bool = True, src=None) -> PairDataset:
         """(key, (left, right)) for each pair of rows of one key; null keys meet."""

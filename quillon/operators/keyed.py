@@ -13,6 +13,8 @@ from ..functions.callables import function, pickled, run_partitions, schema_of
 
 #: Keys that a task holds while it combines before the shuffle; more are sent on as they are.
 HELD = 100_000
+#: Values that a task folds after a shuffle before it sends on what it holds, as accumulators may grow with their values.
+FOLDED = 1_000_000
 
 
 def handle(key):
@@ -35,6 +37,10 @@ def hashable(key):
     return tuple(map(hashable, key)) if isinstance(key, (list, tuple)) else key
 
 
+def value_type(schema) -> T.DataType:
+    return schema if isinstance(schema, T.DataType) else schema_of(schema).fields[0].dataType
+
+
 def dealt(df: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
     return df.repartition(partitions, *columns) if partitions else df
 
@@ -46,25 +52,27 @@ def group_values(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def combine_by_key(df: DataFrame, start, step, merge, schema, partitions: int | None = None, local: bool = True, functions=(), variables: dict | None = None) -> DataFrame:
-    """Python aggregation by key: combined within tasks first if ``local``, then in sorted runs, so no task holds all keys.
+    """Python aggregation by key: partial results of tasks, then joined in sorted runs, so no task holds all keys.
 
     ``start(value)`` begins an accumulator, ``step(acc, value)`` adds a value, ``merge(acc, acc)`` joins two.
+    Tasks combine the values where they are if ``local``, else after a shuffle by key and by the task that a value
+    comes from: a frequent key is the work of many tasks, which pass over its values without a sort. Without
+    ``merge`` all values of a key are one task's, in a sort.
     """
     key_type = df.schema["key"].dataType
-    value = schema_of(schema).fields[0].dataType if not isinstance(schema, T.DataType) else schema
-    out = T.StructType([T.StructField("key", key_type), T.StructField("value", value)])
+    out = T.StructType([T.StructField("key", key_type), T.StructField("value", value_type(schema))])
     between = T.StructType([T.StructField("key", key_type), T.StructField("value", T.BinaryType())])
 
     def before(items, context):
         held: dict = {}
-        for k, v in items:
+        for n, (k, v) in enumerate(items):
             h = handle(k)
+            if len(held) >= HELD and h not in held or not local and n and n % FOLDED == 0:
+                yield from ((a, pickled(b)) for a, b in held.values())
+                held.clear()
             if h in held:
                 held[h][1] = step(held[h][1], v)
             else:
-                if len(held) >= HELD:
-                    yield from ((a, pickled(b)) for a, b in held.values())
-                    held.clear()
                 held[h] = [k, start(v)]
         yield from ((a, pickled(b)) for a, b in held.values())
 
@@ -72,18 +80,20 @@ def combine_by_key(df: DataFrame, start, step, merge, schema, partitions: int |
         now = key = acc = None
         some = False
         for k, v in items:
-            x, h = pickle.loads(v) if local else v, handle(k)
+            x, h = pickle.loads(v) if merge else v, handle(k)
             if some and h == now:
-                acc = merge(acc, x) if local else step(acc, x)
+                acc = merge(acc, x) if merge else step(acc, x)
             else:
                 if some:
                     yield key, acc
                 now, key, some = h, k, True
-                acc = x if local else start(x)
+                acc = x if merge else start(x)
         if some:
             yield key, acc
 
-    parts = run_partitions(df.select("key", "value"), before, between, functions, variables) if local else df.select("key", "value")
+    parts = df.select("key", "value")
+    if merge:
+        parts = run_partitions(parts if local else parts.repartition("key", F.spark_partition_id()), before, between, functions, variables)
     spread = parts.repartition(partitions, "key") if partitions else parts.repartition("key")
     return run_partitions(spread.sortWithinPartitions("key"), after, out, functions, variables)
 
@@ -93,12 +103,19 @@ def reduce_by_key(df: DataFrame, f, schema=None, partitions: int | None = None,
     return combine_by_key(df, lambda v: v, g.call, g.call, schema or df.schema["value"].dataType, partitions, local, [g], variables)
 
 
-def aggregate_by_key(df: DataFrame, zero, seq, comb, schema, partitions: int | None = None, variables: dict | None = None) -> DataFrame:
-    """Each key has a copy of ``zero`` of its own; without ``comb`` values are shuffled before they are folded."""
+def aggregate_by_key(df: DataFrame, zero, seq, comb, schema, partitions: int | None = None, variables: dict | None = None, local: bool = True) -> DataFrame:
+    """Each key has a copy of ``zero`` of its own; without ``comb`` all values of a key are shuffled to one task before they are folded."""
     s = function(seq, 2)
-    c = function(comb, 2) if comb else None
+    c = s if comb is seq else function(comb, 2) if comb else None
     start = lambda v: s.call(copy.deepcopy(zero), v)
-    return combine_by_key(df, start, s.call, c.call if c else None, schema, partitions, c is not None, [x for x in (s, c) if x], variables)
+    return combine_by_key(df, start, s.call, c.call if c else None, schema, partitions, local, [s] if c is None or c is s else [s, c], variables)
+
+
+def fold_by_key(df: DataFrame, zero, f, schema=None, partitions: int | None = None, local: bool = True, variables: dict | None = None) -> DataFrame:
+    """``f`` joins accumulators too; if they are of another type than values it cannot, and a fold that is not ``local`` does without."""
+    kind = df.schema["value"].dataType
+    joins = local or not schema or value_type(schema).simpleString() == kind.simpleString()
+    return aggregate_by_key(df, zero, f, f if joins else None, schema or kind, partitions, variables, local)
 
 
 def join_pairs(left: DataFrame, right: DataFrame, partitions: int | None = None, how: str = "inner", null_safe: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.dataset import Dataset
 from quillon.functions.callables import Function
-from quillon.operators import sampling
+from quillon.operators import keyed, sampling
 from quillon.session import Session
 from quillon.shared import shared_dir
 
@@ -101,6 +101,64 @@ def test_variables_reach_every_kind_of_function(session):
     assert len(data.partition_by(lambda x, context: x % context.variables["by"], 7).count_by_partition()) == 7
 
 
+@pytest.fixture()
+def all_tasks(spark):
+    """Small partitions are not put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_frequent_key_is_folded_by_many_tasks_after_the_shuffle(spark, all_tasks):
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit("hot").alias("key"), F.expr("cast(array() as array<int>)").alias("value"))
+    pairs = Dataset(rows, Session.of(spark)).to_pair()
+    seen = lambda a, b, context: sorted({*a, *b, context.partition})
+    for got in (pairs.fold_by_key([], seen, local=False), pairs.reduce_by_key(seen, local=False)):
+        [(key, tasks)] = got.collect()
+        assert key == "hot" and len(tasks) > 2
+
+
+def test_folds_after_the_shuffle_send_on_what_they_hold(spark, all_tasks, monkeypatch):
+    monkeypatch.setattr(keyed, "HELD", 50)
+    monkeypatch.setattr(keyed, "FOLDED", 300)
+    rows = spark.range(0, 20_000, 1, 5).selectExpr("if(id % 2 = 0, null, id % 997) as key", "id as value")
+    want = {r["key"]: r["v"] for r in rows.groupBy("key").agg(F.sum("value").alias("v")).collect()}
+    pairs = Dataset(rows, Session.of(spark)).to_pair()
+    for got in (pairs.fold_by_key(0, lambda a, b: a + b, local=False), pairs.reduce_by_key(lambda a, b: a + b, local=False, partitions=3)):
+        found = got.collect()
+        assert len(found) == len(want) and dict(found) == want
+    assert dict(Dataset(rows.limit(0), Session.of(spark)).to_pair().fold_by_key(0, lambda a, b: a + b, local=False).collect()) == {}
+
+
+def test_a_shuffled_fold_to_another_type_joins_no_accumulators(session):
+    words = session.parallelize([("a", "xy"), ("b", "z"), ("a", "xyz"), ("a", None)], 3, "key string, value string")
+    length = lambda n, s: n + len(s or "")
+    assert dict(words.fold_by_key(0, length, "long", local=False).collect()) == {"a": 5, "b": 1}
+    assert dict(words.aggregate_by_key(0, length, schema="value long").collect()) == {"a": 5, "b": 1}
+
+
+class _Once(Function):
+    """Fails where it is set up twice."""
+
+    ready = False
+
+    def before(self, context):
+        assert not self.ready
+        self.ready = True
+
+    def call(self, a, b):
+        return a + b
+
+    def after(self, context):
+        self.ready = False
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_the_function_of_a_fold_is_set_up_once_a_task(session, local):
+    pairs = session.parallelize([(i % 3, i) for i in range(30)], 4, "key long, value long")
+    assert dict(pairs.fold_by_key(0, _Once(), local=local).collect()) == {k: sum(range(k, 30, 3)) for k in range(3)}
+
+
 def test_a_file_keeps_its_order_in_splits(session, tmp_path):
     (tmp_path / "a.txt").write_text("".join(f"{i}\n" for i in range(50_000)))
     lines = session.text_file(str(tmp_path / "a.txt"), 8)
